@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 HOT_PARTS = 200
 BROADCAST_ROWS = 200_000
 _owned: list[tuple[SparkSession, str]] = []
+_private: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder on storage that every executor can read."""
+    """A fresh folder on storage that every executor can read: below ``spark.checkpoint.dir``, or
+    where that is unset (local tests) below a private folder made once."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _private:
+            _private.append("file://" + tempfile.mkdtemp(prefix="loomwork-"))
+        base = _private[0]
     path = f"{base.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
     _owned.append((spark, path))
     return path
