@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical
+from . import canonical, repeated, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,22 @@ def p1_collapsed(spark, d):
     return canonical.manifest_collapsed(_t(spark, d, "manifest")).select("row_id", "url", "slug", "n_copies")
 
 
+def p4_found(spark, d):
+    return repeated.chunk_lines(_t(spark, d, "chunks"))
+
+
+def p4_cleaned(spark, d):
+    return repeated.without_repeats(_t(spark, d, "chunks")).select("id", "text", "n_removed")
+
+
+def p6_found(spark, d):
+    return splitting.oversized(_t(spark, d, "chunks"))
+
+
+def p6_pieces(spark, d):
+    return splitting.split_chunks(_t(spark, d, "chunks")).select("id", "source_url", "chunk_index", "n_chunks", "piece", "n_pieces", "piece_start", "piece_end", "text")
+
+
 _P1_KEYS = r"""
 WITH raw AS (
   SELECT row_id, url, slug,
@@ -37,8 +53,32 @@ keys AS (
 groups AS (SELECT uk, sk, min(row_id) AS keep_id, count(*) AS n_copies FROM keys GROUP BY uk, sk)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+_P4_LINES = r"""
+WITH lines AS (
+  SELECT id, source_url, i AS line_no, lower(trim(regexp_replace(regexp_replace(x, '[\s\x1c-\x1f\x0b\x85\p{Z}]+', ' ', 'g'), '[0-9]+', '0', 'g'))) AS line
+  FROM (SELECT id, source_url, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM chunks WHERE source_url IS NOT NULL)),
+docs AS (SELECT source_url, count(*) AS n_docs FROM chunks GROUP BY source_url),
+often AS (SELECT source_url, line FROM lines JOIN docs USING (source_url)
+  WHERE regexp_matches(line, '\p{L}')
+  GROUP BY source_url, line, n_docs HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) * 4 >= n_docs)
+"""
+
+_P6_SIZES = r"""
+WITH lines AS (
+  SELECT id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls,
+    len(regexp_extract_all(text, '[^\s\x1c-\x1f\x0b\x85\p{Z}]+')) AS words FROM chunks WHERE text IS NOT NULL),
+sized AS (
+  SELECT id, greatest(words * 133 // 100, length(text) // 3) + 1 AS size, len(ls) AS n,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[|]'))) AS pipes FROM lines)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces}
 SQL = {
+    "p4_found": _P4_LINES + "SELECT id, line_no::INT AS line_no FROM lines JOIN often USING (source_url, line)",
+    "p4_cleaned": _P4_LINES + """, gone AS (SELECT id, list(line_no) AS g FROM lines JOIN often USING (source_url, line) GROUP BY id)
+SELECT id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text,
+  coalesce(len(g), 0)::INT AS n_removed FROM chunks LEFT JOIN gone USING (id)""",
+    "p6_found": _P6_SIZES + "SELECT id FROM sized WHERE size > CASE WHEN n >= 2 AND pipes >= 2 AND pipes * 10 >= 6 * n THEN 1800 ELSE 512 END",
     "p1_found": _P1_KEYS + "SELECT keep_id, row_id AS copy_id FROM keys JOIN groups USING (uk, sk) WHERE row_id <> keep_id",
     "p1_collapsed": _P1_KEYS + "SELECT row_id, url, slug, n_copies FROM keys JOIN groups USING (uk, sk) WHERE row_id = keep_id",
 }
