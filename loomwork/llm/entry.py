@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, repeated, splitting
+from . import canonical, neighbours, repeated, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def p1_collapsed(spark, d):
     return canonical.manifest_collapsed(_t(spark, d, "manifest")).select("row_id", "url", "slug", "n_copies")
 
 
+def p3_found(spark, d):
+    return neighbours.chunk_pairs(_t(spark, d, "chunk_vectors"))
+
+
+def p3_similar(spark, d):
+    """The ten nearest of every vector, however far."""
+    return neighbours.similar(_t(spark, d, "chunk_vectors"), "id", "embedding", 64, 10)
+
+
 def p4_found(spark, d):
     return repeated.chunk_lines(_t(spark, d, "chunks"))
 
@@ -72,7 +81,7 @@ sized AS (
     len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[|]'))) AS pipes FROM lines)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces}
 SQL = {
     "p4_found": _P4_LINES + "SELECT id, line_no::INT AS line_no FROM lines JOIN often USING (source_url, line)",
     "p4_cleaned": _P4_LINES + """, gone AS (SELECT id, list(line_no) AS g FROM lines JOIN often USING (source_url, line) GROUP BY id)
