@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, neighbours, repeated, splitting
+from . import canonical, mixing, neighbours, packing, repeated, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,6 +45,22 @@ def p6_pieces(spark, d):
     return splitting.split_chunks(_t(spark, d, "chunks")).select("id", "source_url", "chunk_index", "n_chunks", "piece", "n_pieces", "piece_start", "piece_end", "text")
 
 
+def p7_contexts(spark, d):
+    return packing.pack(_t(spark, d, "documents"))
+
+
+def p7_report(spark, d):
+    return packing.report(p7_contexts(spark, d))
+
+
+def p8_mix(spark, d):
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).rows
+
+
+def p8_shares(spark, d):
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).shares
+
+
 _P1_KEYS = r"""
 WITH raw AS (
   SELECT row_id, url, slug,
@@ -81,7 +97,7 @@ sized AS (
     len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[|]'))) AS pipes FROM lines)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_contexts": p7_contexts, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares}
 SQL = {
     "p4_found": _P4_LINES + "SELECT id, line_no::INT AS line_no FROM lines JOIN often USING (source_url, line)",
     "p4_cleaned": _P4_LINES + """, gone AS (SELECT id, list(line_no) AS g FROM lines JOIN often USING (source_url, line) GROUP BY id)
