@@ -77,10 +77,7 @@ def _measure(conf: Packing):
     def run(batches):
         counter = Counter(conf.vocabulary, conf.dims)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            sizes, places = np.zeros(len(texts), np.int64), np.zeros((len(texts), conf.dims), np.float64)
-            for i, t in enumerate(texts):
-                sizes[i], places[i] = counter.measure(t)
+            sizes, places = counter.measure(b.column(1))
             cells = np.clip(((places + 1) * (1 << (conf.bits - 1))).astype(np.int64), 0, (1 << conf.bits) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(hilbert(cells, conf.bits))], schema=schema)
 
