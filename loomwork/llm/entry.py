@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, mixing, neighbours, packing, repeated, splitting
+from . import canonical, mixing, neighbours, packing, repeated, residue, spam, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p4_cleaned(spark, d):
     return repeated.without_repeats(_t(spark, d, "chunks")).select("id", "text", "n_removed")
 
 
+def p5_found(spark, d):
+    return residue.bad_entries(_t(spark, d, "manifest"))
+
+
+def p5_clean(spark, d):
+    return residue.without_residue(_t(spark, d, "manifest"))
+
+
 def p6_found(spark, d):
     return splitting.oversized(_t(spark, d, "chunks"))
 
@@ -61,6 +69,10 @@ def p8_shares(spark, d):
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).shares
 
 
+def p9_found(spark, d):
+    return spam.spam_pages(_t(spark, d, "documents"))
+
+
 _P1_KEYS = r"""
 WITH raw AS (
   SELECT row_id, url, slug,
@@ -97,7 +109,7 @@ sized AS (
     len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[|]'))) AS pipes FROM lines)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_contexts": p7_contexts, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_contexts": p7_contexts, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL = {
     "p4_found": _P4_LINES + "SELECT id, line_no::INT AS line_no FROM lines JOIN often USING (source_url, line)",
     "p4_cleaned": _P4_LINES + """, gone AS (SELECT id, list(line_no) AS g FROM lines JOIN often USING (source_url, line) GROUP BY id)
