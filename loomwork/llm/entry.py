@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, mixing, neighbours, packing, repeated, residue, spam, splitting
+from . import boilerplate, canonical, mixing, neighbours, packing, repeated, residue, spam, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p1_collapsed(spark, d):
     return canonical.manifest_collapsed(_t(spark, d, "manifest")).select("row_id", "url", "slug", "n_copies")
 
 
+def p2_found(spark, d):
+    return boilerplate.corpus_furniture(_t(spark, d, "corpus_text"), _t(spark, d, "manifest"))
+
+
+def p2_bodies(spark, d):
+    return boilerplate.bodies(_t(spark, d, "corpus_text"), _t(spark, d, "manifest"))
+
+
 def p3_found(spark, d):
     return neighbours.chunk_pairs(_t(spark, d, "chunk_vectors"))
 
@@ -109,7 +117,7 @@ sized AS (
     len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[|]'))) AS pipes FROM lines)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_contexts": p7_contexts, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_similar": p3_similar, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_contexts": p7_contexts, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL = {
     "p4_found": _P4_LINES + "SELECT id, line_no::INT AS line_no FROM lines JOIN often USING (source_url, line)",
     "p4_cleaned": _P4_LINES + """, gone AS (SELECT id, list(line_no) AS g FROM lines JOIN often USING (source_url, line) GROUP BY id)
