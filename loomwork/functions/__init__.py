@@ -1 +1 @@
-"""functions of the engine; see the modules."""
+"""Scalar functions over columns: text measures, URL and date parsing, intent tests, HTML to text."""

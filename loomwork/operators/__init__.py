@@ -1 +1 @@
-"""operators of the engine; see the modules."""
+"""Relational operators of the engine: DataFrame in, DataFrame out."""
