@@ -1 +1 @@
-"""sources of the engine; see the modules."""
+"""Readers of crawl artefacts and the chunk store."""

@@ -1 +1 @@
-"""streaming of the engine; see the modules."""
+"""Structured Streaming forms of the incremental operators."""
