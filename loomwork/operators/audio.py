@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 
-@F.pandas_udf("struct<rate:int,samples:array<float>>")
+@F.pandas_udf(S.StructType().add("rate", S.IntegerType()).add("samples", S.ArrayType(S.FloatType())))
 def read_wav(content: pd.Series) -> pd.DataFrame:
     """16-bit PCM, channels averaged, -1 .. 1; other content gives nulls."""
 

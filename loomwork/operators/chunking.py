@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -138,7 +139,7 @@ def chunks(text: str | None) -> list[str]:
     return [p for chunk in out for p in fit(chunk) if p.strip()]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(S.ArrayType(S.StringType()))
 def chunk_text(texts: pd.Series) -> pd.Series:
     return pd.Series([chunks(t) for t in texts], dtype=object)
 

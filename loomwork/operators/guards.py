@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -64,7 +65,7 @@ def parse_reply(raw: str | None, urls) -> dict:
     return {"answered": answered, "citations": cited, "body": body}
 
 
-@F.pandas_udf("struct<answered:boolean,citations:array<string>,body:string>")
+@F.pandas_udf(S.StructType().add("answered", S.BooleanType()).add("citations", S.ArrayType(S.StringType())).add("body", S.StringType()))
 def parse_structured(raw: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_reply(r, u) for r, u in zip(raw, urls)], columns=["answered", "citations", "body"])
 
@@ -79,7 +80,7 @@ def terms_ended(text: str | None, year: int) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(S.ArrayType(S.StringType()))
 def ended_terms(texts: pd.Series, years: pd.Series) -> pd.Series:
     return pd.Series([terms_ended(t, int(y)) for t, y in zip(texts, years)], dtype=object)
 
@@ -121,7 +122,7 @@ def unsupported_names(body: Column, haystack: Column) -> Column:
     def missing(name: Column) -> Column:
         s = surname(name)
         quoted = F.regexp_replace(s, r"([^a-z0-9])", r"\\$1")
-        return s.isNotNull() & ~even.rlike(F.concat(F.lit(r"\b"), quoted, F.lit(r"\b")))
+        return s.isNotNull() & ~F.rlike(even, F.concat(F.lit(r"\b"), quoted, F.lit(r"\b")))
 
     return F.filter(T.titled_names(body), missing)
 
@@ -191,7 +192,7 @@ def periodic(figure: str, texts) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(S.BooleanType())
 def is_periodic(figure: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([periodic(f, t) for f, t in zip(figure, texts)])
 
