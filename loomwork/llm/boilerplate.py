@@ -149,7 +149,14 @@ def regions(r: np.ndarray, sigma: float) -> np.ndarray:
         lo, hi = new
     if hi - lo < 0.4:  # no contrast: all alike
         return np.full(len(r), hi > math.log1p(40))
-    return s > (lo + hi) / 2
+    middle = (lo + hi) / 2
+    inside, own = s > middle, np.log1p(r) > middle
+    for order in (range(len(r)), range(len(r) - 1, -1, -1)):  # smoothing blurs the edges: trim them
+        before = False
+        for i in order:
+            inside[i] = inside[i] and (before or own[i])
+            before = inside[i]
+    return inside
 
 
 class _Events(HTMLParser):

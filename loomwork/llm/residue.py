@@ -80,8 +80,9 @@ def passages(url: str | None, title: str | None) -> list[str]:
     out = []
     if title and title.strip():
         even = " ".join(title.split()).lower()
-        out += [p for p in _PARTS.split(even) if p.strip()]
-        if SYNTAX.search(even):
+        parts = [p for p in _PARTS.split(even) if p.strip()]
+        out += parts
+        if SYNTAX.search(even) and not any(SYNTAX.search(p) for p in parts):
             out.append(even)
     if url:
         path = re.sub(r"^\s*[a-z][a-z+.\-]*://[^/?]*", "", unquote(url).lower().strip(), flags=re.I).partition("?")[0]
@@ -121,7 +122,8 @@ def fit(counted: list[tuple[str, bool, int]], conf: Fit = Fit()) -> dict[str, fl
     known = {f for f, n in seen.items() if n >= conf.least}
     rows = [([f for f in fs if f in known], sure, n) for fs, sure, n in rows]
     belief = [1.0 if sure else 0.0 for _, sure, _ in rows]
-    fixed = [sure or _ordinary_in(fs, ordinary) for fs, sure, _ in rows]
+    told = {f for fs, sure, _ in rows if sure for f in fs if " " not in f}
+    fixed = [sure or _ordinary_in(fs, ordinary) or not told.intersection(fs) for fs, sure, _ in rows]
     odds: dict[str, float] = {}
     for _ in range(conf.rounds):
         pos: Counter = Counter()
@@ -148,7 +150,7 @@ def fit(counted: list[tuple[str, bool, int]], conf: Fit = Fit()) -> dict[str, fl
             break
     for f in ordinary:  # for scoring: they decide against a passage
         odds[f] = -99.0
-    odds.update({_TOLD + f: 1.0 for fs, sure, _ in rows if sure for f in fs if " " not in f})
+    odds.update({_TOLD + f: 1.0 for f in told})
     return odds
 
 
@@ -186,7 +188,7 @@ def score(passage: str, odds: dict[str, float]) -> float:
         words = [f for f in fs if " " not in f]
         if len(words) < 2 or any(odds.get(w, 0.0) < 0.5 or _TOLD + w not in odds for w in words):
             return 0.0
-    return _belief(fs, odds)
+    return _belief(fs, odds) if any(_TOLD + f in odds for f in fs) else 0.0
 
 
 def _list_passages(batches):

@@ -132,6 +132,8 @@ def cut(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
 
 
 def _next_start(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.full(len(at), np.iinfo(np.int64).max)
     k = np.searchsorted(starts, at, "left")
     return np.where(k < len(starts), starts[np.minimum(k, len(starts) - 1)], np.iinfo(np.int64).max)
 
