@@ -21,7 +21,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
     """(category, slug, text) of text files ``root/category/slug.txt``."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("category"), F.regexp_extract(path, r"([^/]+)\.txt$", 1).alias("slug"), F.col("value").alias("text"))
 
@@ -29,7 +29,7 @@ def corpus_files(spark: SparkSession, root: str) -> DataFrame:
 def tab_log(spark: SparkSession, path: str) -> DataFrame:
     """(url, reason) of log lines of at least two fields: the last field, of the last line of a URL.
     The order of lines is theirs in the file, so one file is one split."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     parts = rows.withColumn("f", F.split("line", "\t")).filter(F.size("f") >= 2)
     return parts.groupBy(F.col("f")[0].alias("url")).agg(F.max_by(F.element_at("f", -1), "line_no").alias("reason"))
 
