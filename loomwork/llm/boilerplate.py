@@ -387,7 +387,8 @@ def furniture(pages: DataFrame, rule: Shares = Shares()) -> DataFrame:
     with a row for each host, which is joined with hot hosts apart."""
     spark = pages.sparkSession
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[^a-z]*[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
-    pages = pages.filter("length(text) > 0").select(host.alias("host"), "text", F.col("row_id").cast("bigint"))
+    # written once: three passes read it, and the join that found the hosts is not run again
+    pages = materialize(pages.filter("length(text) > 0").select(host.alias("host"), "text", F.col("row_id").cast("bigint")))
     sizes = materialize(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     total = sizes.agg(F.sum("pages")).first()[0] or 0
     counts = materialize(pages.select("host", "text").mapInArrow(_pass_1, "host string, key bigint, n bigint, linked bigint").groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked")))
