@@ -33,6 +33,12 @@ def content_words(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(P.CONTENT_TOKEN), F.lit(0)), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
 
 
+def content_vocabulary(c: Column) -> Column:
+    """The different content words; stop words go by one hash lookup a word."""
+    long = F.regexp_extract_all(F.lower(c), F.lit(P.CONTENT_TOKEN.replace("]+", "]{3,}")), F.lit(0))
+    return F.array_except(long, F.array(*[F.lit(w) for w in P.STOPWORDS]))
+
+
 def even_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, P.SPACE + "+", " "))
 

@@ -146,10 +146,13 @@ def chunk_text(texts: pd.Series) -> pd.Series:
 
 def word_windows(text: Column) -> Column:
     """``windows`` as a native expression."""
-    w = F.regexp_extract_all(text, F.lit(P.NOT_SPACE + "+"), F.lit(0))
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - WINDOW) / STRIDE)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * STRIDE + 1, F.lit(WINDOW)), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - WINDOW) / STRIDE)).cast("int")
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * STRIDE + 1, F.lit(WINDOW)), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    # bound by a one-element array, so that the words are extracted once and not for each window
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(P.NOT_SPACE + "+"), F.lit(0))), cut)[0]
 
 
 def chunk_records(pages: DataFrame) -> DataFrame:

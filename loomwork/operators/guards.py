@@ -88,8 +88,7 @@ def ended_terms(texts: pd.Series, years: pd.Series) -> pd.Series:
 def support(body: Column, evidence_text: Column) -> Column:
     """Part of an answer's different content words that its evidence has; 1 where the answer is too
     short to tell or there is no evidence."""
-    own = F.array_distinct(T.content_words(body))
-    theirs = F.array_distinct(T.content_words(evidence_text))
+    own, theirs = T.content_vocabulary(body), T.content_vocabulary(evidence_text)
     share = F.size(F.array_intersect(own, theirs)) / F.size(own)
     return F.when((F.size(own) < P.SUPPORT_WORDS) | evidence_text.isNull(), F.lit(1.0)).otherwise(share)
 
