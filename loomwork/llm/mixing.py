@@ -8,8 +8,9 @@ no other is left to trade with, is rounded to the nearer side, so a source misse
 most half a text. Tasks trade among their own texts, the largest first, so that the one text for
 each source that they pass on is small; these residuals meet in a reduction tree (``fan`` tasks to one at each level).
 
-The total is the largest at which no source needs more than ``max_repeats`` uses of a text, unless
-one is given; then a source that cannot reach its share gives all it may and the report shows it.
+The total is the token count of all texts that have a target, unless one is given. A source that
+cannot reach its share of it within ``max_repeats`` uses of each text gives all it may, the others
+keep to their own tokens, and the report shows the shares reached.
 
 Defined results: texts that are null, empty or whose source has no target are left out; targets
 with null source, or without positive share and repeats, are left out; repeated targets of a source
@@ -135,8 +136,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     if share is None:
         rows = sized.select("*", F.lit(0).alias("copies")).limit(0)
         return Mix(rows, _report(rows, targets))
-    most = have.agg(F.min(F.col("max_repeats") * F.col("tokens") / (F.col("target_share") / share))).first()[0]
-    aim = float(most if total_tokens is None else total_tokens)
+    aim = float(have.agg(F.sum("tokens")).first()[0] if total_tokens is None else total_tokens)
     uses = F.least(F.col("max_repeats").cast("double"), F.lit(aim) * F.col("target_share") / F.lit(share) / F.col("tokens"))
     rates = materialize(have.select("source", uses.alias("uses")))
     whole = F.floor(F.col("uses") + _NEAR)

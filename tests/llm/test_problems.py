@@ -319,6 +319,18 @@ def test_mixing(spark):
     assert short.most_copies == 1
 
 
+def test_scarce_source_leaves_the_others_whole(spark):
+    data = [(i, "river stone cloud " * 20, "wide") for i in range(50)] + [(100, "river stone cloud " * 20, "few"), (101, "river", "scarce")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("wide", 0.5, 1), ("few", 0.4, 3), ("scarce", 0.1, 1)], "source string, target_share double, max_repeats int")
+    whole = int(tokens.Counter().count(pa.array([t for _, t, _ in data])).sum())
+    got = {r.source: r for r in mixing.mix(df, targets).shares.collect()}
+    one = len(tokens.encoding().encode_ordinary(data[0][1]))
+    assert abs(got["wide"].tokens - 0.5 * whole) <= one / 2  # a scarce source takes nothing from it
+    assert (got["few"].n_used, got["few"].most_copies, got["scarce"].n_used, got["scarce"].most_copies) == (1, 3, 1, 1)
+    assert got["few"].actual_share < 0.2 and abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
+
+
 # 9 -----------------------------------------------------------------------------------------------
 def test_spam(spark):
     rnd = random.Random(4)
