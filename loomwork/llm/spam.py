@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.physical import materialize
+from ..plans.physical import materialize, skew_join
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)", re.I)
 _ADDRESS = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+", re.I)
@@ -49,8 +49,8 @@ _FUNCTION = frozenset(
 class Spam:
     """``share``: part of a page's units that must be spam; ``least_words``: shorter pages without
     links are never cases; ``typical``: part of the candidates with a phrase that must be spam for
-    the phrase to count, ``least_pages`` of them at least; ``lexicon``: most phrases broadcast (the
-    threshold rises until they fit, see ``_lexicon``)."""
+    the phrase to count, ``least_pages`` of them at least; ``lexicon``: most phrases broadcast (more
+    of them stay a table and are joined, see ``_joined``)."""
 
     share: float = 0.5
     least_words: int = 12
@@ -239,12 +239,49 @@ def _phrase_rows():
     return run
 
 
-def _lexicon(pages: DataFrame, rule: Spam) -> frozenset[str]:
-    """Phrases typical of sure pages, counted over distinct texts of all candidates. At most
-    ``rule.lexicon`` go to the driver: those on the most pages."""
-    counted = pages.select("text", "sure").mapInArrow(_phrase_rows(), "phrase string, sure int, n bigint").groupBy("phrase").agg(F.sum(F.col("n") * F.col("sure")).alias("spam"), F.sum("n").alias("n"))
-    typical = counted.filter((F.col("spam") >= rule.least_pages) & (F.col("spam") >= F.col("n") * rule.typical))
-    return frozenset(r[0] for r in typical.orderBy(F.desc("spam"), "phrase").limit(rule.lexicon).collect())
+def _typical(texts: DataFrame, rule: Spam) -> DataFrame:
+    """(phrase, n) of the phrases typical of sure pages, counted over distinct texts of all candidates."""
+    counted = texts.select("text", "sure").mapInArrow(_phrase_rows(), "phrase string, sure int, n bigint").groupBy("phrase").agg(F.sum(F.col("n") * F.col("sure")).alias("spam"), F.sum("n").alias("n"))
+    return materialize(counted.filter((F.col("spam") >= rule.least_pages) & (F.col("spam") >= F.col("n") * rule.typical)).select("phrase", "n"))
+
+
+def looked_up(units: list[Unit]) -> set[str]:
+    """All that ``spam_share`` may find in a lexicon."""
+    out: set[str] = set()
+    for u in units:
+        if not u.table and not u.links:
+            out.update(w for w in u.words if len(w) >= 4 and w not in _FUNCTION)
+            out.update(f"{a} {b}" for a, b in zip(u.words, u.words[1:]) if a not in _FUNCTION and b not in _FUNCTION)
+    return out
+
+
+def _lookups(batches):
+    schema = pa.schema([("key", pa.string()), ("phrase", pa.string())])
+    for b in batches:
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = sorted(looked_up(units_of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found, pa.string())], schema=schema)
+
+
+def _with_own(rule: Spam):
+    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("sure", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            sure = [int(s or spam_share(units_of(t), frozenset(own or ())) >= rule.share) for t, s, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.int32())], schema=schema)
+
+    return run
+
+
+def _joined(pages: DataFrame, texts: DataFrame, typical: DataFrame, rule: Spam) -> DataFrame:
+    """A round without a broadcast: each open text gets the typical phrases that it holds."""
+    asked = materialize(texts.filter("sure = 0").select("key", "text").mapInArrow(_lookups, "key string, phrase string"))
+    total = max(asked.count(), typical.agg(F.sum("n")).first()[0] or 0)  # bounds the hot phrases
+    own = skew_join(asked, typical, "phrase", "n", total).groupBy("key").agg(F.collect_list("phrase").alias("own"))
+    judged = texts.join(own, "key", "left").select("key", "n", "text", "sure", "own").mapInArrow(_with_own(rule), "key string, n bigint, sure int")
+    keyed = pages.select("doc_id", "text", _key().alias("key"))
+    return skew_join(keyed, materialize(judged), "key", "n", pages.count()).select("doc_id", "text", "sure")
 
 
 def _second(lexicon, rule: Spam):
@@ -263,12 +300,20 @@ def _second(lexicon, rule: Spam):
 _ROWS = "doc_id bigint, text string, sure int"
 
 
+def _key():
+    return F.concat_ws("-", F.md5("text"), F.xxhash64("text"))
+
+
 def spam_pages(docs: DataFrame, rule: Spam = Spam(), rounds: int = 2) -> DataFrame:
     """(doc_id) of the pages that are spam."""
     spark = docs.sparkSession
     pages = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_first(rule), _ROWS))
     for _ in range(rounds):
-        once = pages.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("sure").alias("sure"))
-        known = spark.sparkContext.broadcast(_lexicon(once, rule))
-        pages = materialize(pages.mapInArrow(_second(known, rule), _ROWS))
+        once = pages.groupBy(_key().alias("key")).agg(F.first("text").alias("text"), F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n"))
+        typical = _typical(once, rule)
+        if typical.count() <= rule.lexicon:
+            known = spark.sparkContext.broadcast(frozenset(r[0] for r in typical.select("phrase").collect()))
+            pages = materialize(pages.mapInArrow(_second(known, rule), _ROWS))
+        else:
+            pages = materialize(_joined(pages, materialize(once), typical, rule))
     return pages.filter("sure = 1").select("doc_id").distinct()

@@ -351,6 +351,22 @@ def test_spam(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_phrases_beyond_the_broadcast(spark):
+    rnd = random.Random(6)
+    keys = ["cheap watches", "free coins", "loan offers", "best pills", "casino bonus"]
+    sure = ["Tags: " + ", ".join(rnd.choice(keys) for _ in range(40)) for _ in range(20)]
+    plain = "river stone cloud garden letter bridge winter museum harbour valley meadow teacher orchard captain village lantern forest island temple castle".split()
+    lines = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    held = [lines(rnd.sample(keys, 4) + rnd.sample(keys, 4), 2) for _ in range(6)]
+    other = [lines(rnd.sample(plain, 16), 4) for _ in range(6)]
+    texts = sure + held + other + held[:1] * 9
+    want = [i for i, t in enumerate(texts) if t not in other]
+    assert {spam.judge(t, spam.Spam())[0] for t in held + other} == {1}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for most in (100_000, 3, 0):
+        assert sorted(r.doc_id for r in spam.spam_pages(df, spam.Spam(lexicon=most)).collect()) == want
+
+
 def test_counters_of_tokens_reset():
     c = tokens.Counter(dims=4)
     texts = pa.array(["one two", None, "", "three  four"])
