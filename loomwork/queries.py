@@ -499,8 +499,8 @@ def unsupported_figures(s, d):
 
 @query()
 def unsupported_names(s, d):
-    """Names of each English document, with the next document as evidence."""
-    docs = t(s, d, "documents").filter("text IS NOT NULL AND lang = 'en'").select("doc_id", "text")
+    """Names of each document, with the next document as evidence."""
+    docs = t(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
     return docs.join(after, "doc_id").select("doc_id", guards.unsupported_names(F.col("text"), F.col("evidence")).alias("names"))
 
