@@ -7,8 +7,10 @@ unlabelled passages move over to the positive side as far as the model believes
 scored, a record is bad if one of its passages is, and a page is bad with all entries that
 ``canonical`` finds to be copies.
 
-The fit uses distinct passages, at most ``positives`` trusted and ``unlabelled`` other ones (taken by
-hash, a documented bound); every record is scored.
+The fit uses all distinct passages: on the driver if counted to be at most ``positives`` trusted and
+``unlabelled`` other ones, else by aggregations (``fit_all``) with the same result. Then the driver
+holds the words of trusted and of undecided passages and the ordinary words, never the passages;
+every record is scored.
 
 Defined results: null and empty titles say nothing; a null URL gives no passages; entries without
 url or slug are judged alone; copies count with their page even if their own title is blank; an
@@ -222,17 +224,112 @@ def _judge(model, threshold: float):
     return run
 
 
+_STATS = pa.schema([("feature", pa.string()), *[(c, pa.int64()) for c in ("seen", "places", "sure_n", "uses", "sure_uses")]])
+
+
+def _feature_rows(batches):
+    """For each feature: entries, passages, entries of trusted passages, uses, uses in these; under ``""`` of all passages."""
+    for b in batches:
+        sums: dict[str, list[int]] = {}
+        for p, sure, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            held = Counter(features(p))
+            if held:
+                held[""] = 1
+            for f, k in held.items():
+                s = sums.setdefault(f, [0, 0, 0, 0, 0])
+                for i, x in enumerate((n, 1, n * sure, k * n, k * n * sure)):
+                    s[i] += x
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((f, *s) for f, s in sums.items())) if sums else [[]] * 6, _STATS.types)], schema=_STATS)
+
+
+def _undecided(shared):
+    schema = pa.schema([("fs", pa.list_(pa.string())), ("n", pa.int64())])
+
+    def run(batches):
+        told, ordinary = shared.value
+        for b in batches:
+            rows = [(features(p), n) for p, sure, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if not sure]
+            rows = [(fs, n) for fs, n in rows if told.intersection(fs) and not _ordinary_in(fs, ordinary)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.types[0]), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
+
+    return run
+
+
+def _moves(shared):
+    schema = pa.schema([("feature", pa.string()), ("pos", pa.float64()), ("gone", pa.float64())])
+
+    def run(batches):
+        before, odds = shared.value
+        for b in batches:
+            sums: dict[str, list[float]] = {"": [0.0, 0.0]}  # belief, and how far it moved
+            for fs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs = [f for f in fs if f in odds]
+                now = _belief(fs, odds)
+                sums[""][0] += now * n
+                sums[""][1] += abs(now - (_belief(fs, before) if before else 0.0)) * n
+                for f in fs:
+                    s = sums.setdefault(f, [0.0, 0.0])
+                    s[0] += now * n if now > 0.01 else 0.0
+                    s[1] += now * n
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s[0] for s in sums.values()]), pa.array([s[1] for s in sums.values()])], schema=schema)
+
+    return run
+
+
+def fit_all(listed: DataFrame, conf: Fit = Fit()) -> dict[str, float]:
+    """``fit`` over a table (passage, sure, n) of any size. Only undecided passages move, so a round is
+    one pass over these; odds that no score needs are left out."""
+    share_with = listed.sparkSession.sparkContext.broadcast
+    counts = ["seen", "places", "sure_n", "uses", "sure_uses"]
+    stats = listed.select("passage", "sure", "n").mapInArrow(_feature_rows, "feature string, " + ", ".join(f"{c} bigint" for c in counts))
+    stats = materialize(stats.groupBy("feature").agg(*[F.sum(c).alias(c) for c in counts]))
+    top = stats.filter("feature = ''").first()
+    if top is None:
+        return {}
+    stats = stats.filter(F.col("feature") != "")
+    known, word = stats.filter(F.col("seen") >= conf.least), ~F.contains("feature", F.lit(" "))
+    told = frozenset(r[0] for r in known.filter(word & (F.col("sure_n") > 0)).select("feature").collect())
+    usual = word & (F.col("feature") != "0") & (F.col("seen") >= conf.common) & (F.col("places") >= conf.places) & (F.col("sure_n") <= F.lit(conf.rare) * F.col("seen"))
+    ordinary = frozenset(r[0] for r in stats.filter(usual).select("feature").collect())
+    free = materialize(listed.select("passage", "sure", "n").mapInArrow(_undecided(share_with((told, ordinary))), "fs array<string>, n bigint"))
+    needed = free.select(F.explode("fs").alias("feature")).distinct().withColumn("free", F.lit(True))
+    base = {r[0]: (r[1], r[2]) for r in known.join(needed, "feature", "left").filter("free OR sure_n > 0").select("feature", "sure_uses", "uses").collect()}
+    sure_uses, uses = known.agg(F.sum("sure_uses"), F.sum("uses")).first()
+    moved: dict[str, tuple[float, float]] = {}
+    odds: dict[str, float] = {}
+    for _ in range(conf.rounds):
+        n_pos = (sure_uses or 0) + sum(p for f, (p, _) in moved.items() if f)
+        n_neg = (uses or 0) - (sure_uses or 0) - sum(g for f, (_, g) in moved.items() if f)
+        if not n_pos or n_neg <= 0:
+            break
+        part, a, before, odds = n_pos / (n_pos + n_neg), conf.smoothing, odds, {}
+        for f, (sure, every) in base.items():
+            p, gone = moved.get(f, (0.0, 0.0))
+            pos, neg = sure + p, every - sure - gone
+            odds[f] = math.log((pos + a) / ((pos + neg) * part + a)) - math.log((neg + a) / ((pos + neg) * (1 - part) + a))
+        share = min(0.5, max(1e-4, (top["sure_n"] + moved.get("", (0.0, 0.0))[0]) / top["seen"]))
+        odds[""] = math.log(share / (1 - share))
+        sums = free.mapInArrow(_moves(share_with((before, odds))), "feature string, pos double, gone double")
+        moved = {r[0]: (r[1], r[2]) for r in sums.groupBy("feature").agg(F.sum("pos"), F.sum("gone")).collect()}
+        if moved.get("", (0.0, 0.0))[1] < 1e-5 * top["seen"]:
+            break
+    for f in ordinary:
+        odds[f] = -99.0
+    odds.update({_TOLD + f: 1.0 for f in told})
+    return odds
+
+
 def model_of(manifest: DataFrame, conf: Fit = Fit()) -> dict[str, float]:
     listed = materialize(manifest.select("url", "title").mapInArrow(_list_passages, "passage string, sure boolean, n bigint").groupBy("passage").agg(F.max("sure").alias("sure"), F.sum("n").alias("n")))
-    sample = []
-    for sure, n in ((True, conf.positives), (False, conf.unlabelled)):
-        sample += listed.filter(F.col("sure") == sure).orderBy(F.xxhash64("passage"), "passage").limit(n).collect()
-    return fit([(r[0], r[1], r[2]) for r in sample], conf)
+    n_sure, n_all = listed.agg(F.count_if("sure"), F.count(F.lit(1))).first()
+    if n_sure > conf.positives or n_all - n_sure > conf.unlabelled:
+        return fit_all(listed, conf)
+    return fit([(r[0], r[1], r[2]) for r in listed.orderBy(F.desc("sure"), F.xxhash64("passage"), "passage").collect()], conf)
 
 
 def bad_entries(manifest: DataFrame, conf: Fit = Fit()) -> DataFrame:
     """(row_id) of all entries of pages with residue."""
-    odds = manifest.sparkSession.sparkContext.broadcast(model_of(manifest, conf))  # bounded by the sample
+    odds = manifest.sparkSession.sparkContext.broadcast(model_of(manifest, conf))
     key = F.when(F.col("url").isNotNull() & F.col("slug").isNotNull(), digest(page_key()))
     rows = manifest.select(F.col("row_id").cast("bigint"), key.alias("h"), "url", "title")
     judged = materialize(rows.mapInArrow(_judge(odds, conf.threshold), "row_id bigint, h binary, bad int"))

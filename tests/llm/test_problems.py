@@ -202,6 +202,21 @@ def test_residue(spark):
     assert residue.bad_entries(df.limit(0)).count() == 0
 
 
+def test_residue_fit_on_all_passages(spark):
+    rnd = random.Random(8)
+    nouns = "rivers stones clouds gardens letters bridges".split()
+    titles = [f"{rnd.choice(['Study', 'Report', 'Theory'])} of {rnd.choice(nouns)} {rnd.choice(nouns)}" for _ in range(300)]
+    titles += ["Page not found", "Your page could not be found", "Page missing", "Not found here", "Please enable JavaScript", "Enable scripts please", "Lorem ipsum", "Ipsum page lorem", "Sorry, page missing"] * 3
+    df = spark.createDataFrame([(i, f"https://h.example/c-{i}/", f"c-{i}", t) for i, t in enumerate(titles)], "row_id bigint, url string, slug string, title string").repartition(3)
+    tiny = residue.Fit(positives=2, unlabelled=5)
+    whole, by_parts = residue.model_of(df), residue.model_of(df, tiny)
+    assert by_parts.keys() <= whole.keys() and any(v == -99.0 for v in by_parts.values())
+    assert all(abs(whole[f] - v) < 1e-6 for f, v in by_parts.items())
+    for t in {p for t in titles for p in residue.passages(None, t)}:
+        assert abs(residue.score(t, whole) - residue.score(t, by_parts)) < 1e-6
+    assert rows(residue.bad_entries(df, tiny)) == rows(residue.bad_entries(df))
+
+
 # 6 -----------------------------------------------------------------------------------------------
 def size(t):
     return max(len(t.split()) * 133 // 100, len(t) // 3) + 1
