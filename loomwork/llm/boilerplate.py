@@ -7,7 +7,8 @@ separators stand for links, and a line that comes back on many pages of a host (
 collection) is template and weighs as so many more. Counting these lines takes one aggregation per
 (host, line), with map-side combining; the result is bounded by shares, never by the corpus.
 
-The regions decide what nothing else tells. An exact check then settles the edges line by line:
+On extracted text the regions decide only the few short lines that nothing else tells (figures in the
+README). All others are settled by their frequency and an exact check line by line:
 template lines (by what stands around them on all pages, so that a recurring body heading is kept),
 menus (most parts are known menu labels), breadcrumbs, sidebars (a heading that is elsewhere followed
 by dated or sized entries, its entries, its closing link), and lists in the body that only use menu
