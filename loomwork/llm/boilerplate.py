@@ -1,18 +1,17 @@
 """Problem 2: the main body of a page among menus, notices, sidebars and footers.
 
-Method: text-to-tag ratio of each line, Gaussian smoothing along the page, two-means threshold; lines
-above it form the content regions. For HTML (``html_lines``) the tags are counted from the events of
-the standard library's streaming parser. Extracted text has lost its tags, so they are estimated:
-separators stand for links, and a line that comes back on many pages of a host (or of the whole
-collection) is template and weighs as so many more. Counting these lines takes one aggregation per
-(host, line), with map-side combining; the result is bounded by shares, never by the corpus.
-
-On extracted text the regions decide only the few short lines that nothing else tells (figures in the
-README). All others are settled by their frequency and an exact check line by line:
-template lines (by what stands around them on all pages, so that a recurring body heading is kept),
-menus (most parts are known menu labels), breadcrumbs, sidebars (a heading that is elsewhere followed
-by dated or sized entries, its entries, its closing link), and lists in the body that only use menu
-words.
+Method: text-to-tag ratio of each line, Gaussian smoothing of its logarithm along the page, and a
+threshold that splits the smoothed values in two clusters; lines above it form the content regions and
+all others are removed. For HTML (``html_lines``) the tags are counted from the events of the standard
+library's streaming parser. Extracted text has lost its tags, so they are estimated: a separator or list
+mark stands for some, and a line that comes back on many pages of a host (or of the whole collection)
+among other such lines was written by a template, which counts as many tags a character. So do lines of
+the kinds that templates fill in: menus, breadcrumbs, and the entries below a heading that is elsewhere
+followed by dated or sized entries. Counting lines takes one aggregation per (host, line), with map-side
+combining; the result is bounded by shares, never by the corpus.
+
+Smoothing settles lines of which nothing is known by what stands around them. It also blurs the edges of
+regions; there the line's own ratio decides.
 
 Defined results: null or empty text gives no lines; blank lines are never removed; a page of
 furniture only loses all lines; pages without a URL are one host; an empty table gives an empty
@@ -25,6 +24,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,33 +33,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.physical import materialize, skew_join
+from ..plans.physical import BROADCAST_ROWS, materialize, skew_join
 
 _BULLET = re.compile(r"^(?:[•»›·*–\-]|\d{1,2}[.)])\s+")
 _MONTH = re.compile(r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b")
 _ENTRY = re.compile(r"\[[A-Za-z]{2,4}, \d+ [KMG]B\]\s*$|\((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}\)\s*$")
 _PARTS = re.compile(r"\s*[|·•]\s*|\s{2,}|\]\s*\[|^\[|\]$")
 _CRUMB = re.compile(r"^\S+(?:\s\S+)?\s*[/»›>→]\s+\S.*[^.!?]$")
+_FACT = re.compile(r"(?:office|extension)\b[^|:]{0,20}:\s*\S")  # a person's, which belong to the body
+_TEMPLATE_TAGS = 10.0
+_LEAST = 1 / _TEMPLATE_TAGS
+_ANCHORS = np.log([_LEAST, 60.0])  # a line of a template, a line of text
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’)]*$")
 
 
 @dataclass(frozen=True)
 class Shares:
-    """``host``: part of a host's pages that makes a line template there (hosts of ``least_host``
-    pages and more); ``everywhere``: the same over all pages; ``least``: pages it needs at least;
-    ``beside``: how often template must stand beside it; ``linked``: how often a sidebar's heading is
-    followed by a dated or sized entry; ``opener`` and ``subject``: parts of the pages that a heading
-    and an entry's subject need; ``sigma``: width of the smoothing, in lines."""
+    """``host``: part of a host's pages that makes a line template there; ``everywhere``: the same over
+    all pages; ``label``: parts of menus; ``least``: pages it needs at least; ``beside``: how often
+    template must stand beside it; ``linked``: how often a sidebar's heading is followed by a dated or
+    sized entry; ``opener`` and ``subject``: parts of the pages that a heading and an entry's subject
+    need; ``sigma``: width of the smoothing, in lines."""
 
     host: float = 0.04
-    everywhere: float = 0.01
+    everywhere: float = 0.02
+    label: float = 0.01
     least: int = 4
-    least_host: int = 40
     beside: float = 0.35
     linked: float = 0.12
     opener: float = 0.001
     subject: float = 0.0005
-    sigma: float = 1.5
+    sigma: float = 0.7
 
 
 _ROOTS = ("home", "start", "startseite", "accueil", "inicio")  # where breadcrumb trails begin
@@ -81,19 +85,34 @@ def key_of(text: str) -> int:
 
 
 class Line:
-    __slots__ = ("no", "text", "norm", "key", "table", "words", "sentence", "parts", "entry", "mark", "gap", "flags")
+    """A line of a page; what depends on its text only is worked out once for recurring short lines."""
 
-    def __init__(self, no: int, text: str, gap: bool):
-        self.no, self.text, self.gap = no, text.strip(), gap  # gap: a blank line before
-        self.norm = key_text(self.text)
+    __slots__ = ("no", "text", "norm", "key", "table", "words", "sentence", "parts", "entry", "mark", "fact", "gap")
+
+    def __init__(self, text: str):
+        self.text = text
+        self.norm = key_text(text)
         self.key = key_of(self.norm)
-        self.table = self.text.startswith("|")
-        self.words = len(self.norm.split())
-        self.entry = bool(_ENTRY.search(self.text))
-        m = _BULLET.match(self.text)
+        self.table = text.startswith("|")
+        self.words = self.norm.count(" ") + 1
+        self.entry = text[-1] in ")]" and bool(_ENTRY.search(text))
+        m = _BULLET.match(text)
         self.mark = m.group().strip() if m else ""
-        self.parts = [] if self.table else [p for p in _PARTS.split(self.text) if p]
-        self.sentence = not self.table and (self.words >= 5 and bool(_SENTENCE_END.search(self.text)) or self.words >= 12) and len(self.parts) < 4
+        self.parts = [] if self.table else [p for p in _PARTS.split(text) if p]
+        self.sentence = not self.table and (self.words >= 5 and bool(_SENTENCE_END.search(text)) or self.words >= 12) and len(self.parts) < 4
+        self.fact = bool(_FACT.match(self.norm))
+
+    def at(self, no: int, gap: bool) -> Line:
+        """The same line in a page; ``gap``: a blank line before."""
+        x = Line.__new__(Line)
+        x.text, x.norm, x.key, x.table, x.words = self.text, self.norm, self.key, self.table, self.words
+        x.entry, x.mark, x.parts, x.sentence, x.fact, x.no, x.gap = self.entry, self.mark, self.parts, self.sentence, self.fact, no, gap
+        return x
+
+
+@lru_cache(maxsize=50_000)
+def _short(text: str) -> Line:
+    return Line(text)
 
 
 def subject_of(norm: str) -> str:
@@ -114,50 +133,49 @@ def entry_key(x: Line) -> int:
 def lines_of(text: str) -> list[Line]:
     out, gap = [], True
     for no, line in enumerate(text.split("\n"), 1):
-        if line.strip():
-            out.append(Line(no, line, gap))
+        line = line.strip()
+        if line:
+            out.append((_short(line) if len(line) <= 100 else Line(line)).at(no, gap))
             gap = False
         else:
             gap = True
     return out
 
 
-def ratios(lines: list[Line], weight) -> np.ndarray:
-    """Text-to-tag ratio: characters for each tag; ``weight`` gives a line's estimated tags."""
-    return np.array([len(x.text) / max(1.0, weight(x)) for x in lines])
-
-
 def smoothed(r: np.ndarray, sigma: float) -> np.ndarray:
-    reach = int(math.ceil(2 * sigma))
+    reach = max(1, int(math.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    padded = np.concatenate([r[:reach][::-1], r, r[-reach:][::-1]]) if len(r) >= reach else np.pad(r, reach, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), "valid")[: len(r)]
+    return np.convolve(np.pad(r, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def regions(r: np.ndarray, sigma: float) -> np.ndarray:
-    """True for lines of content regions: smoothed ratios split in two by means (in logarithms)."""
-    if len(r) < 3:
-        return r > 40
-    s = np.log1p(smoothed(r, sigma))
+def threshold(s: np.ndarray) -> float:
+    """Middle between the means of two clusters. One typical line of each kind is added, so a page of one
+    kind only isn't split."""
+    s = np.concatenate([s, _ANCHORS])
     lo, hi = s.min(), s.max()
-    for _ in range(20):
+    for _ in range(30):
         upper = s > (lo + hi) / 2
-        if upper.all() or not upper.any():
-            break
         new = s[~upper].mean(), s[upper].mean()
-        if np.allclose(new, (lo, hi)):
+        if abs(new[0] - lo) + abs(new[1] - hi) < 1e-9:
             break
         lo, hi = new
-    if hi - lo < 0.4:  # no contrast: all alike
-        return np.full(len(r), hi > math.log1p(40))
-    middle = (lo + hi) / 2
-    inside, own = s > middle, np.log1p(r) > middle
-    for order in (range(len(r)), range(len(r) - 1, -1, -1)):  # smoothing blurs the edges: trim them
-        before = False
-        for i in order:
-            inside[i] = inside[i] and (before or own[i])
-            before = inside[i]
-    return inside
+    return (lo + hi) / 2
+
+
+def regions(r: np.ndarray, sigma: float) -> np.ndarray:
+    """True for lines of content regions, from text-to-tag ratios."""
+    if not len(r):
+        return np.zeros(0, bool)
+    own = np.log(np.maximum(r, _LEAST))
+    s = smoothed(own, sigma)
+    middle = threshold(s)
+    inside = s > middle
+    # smoothing blurs edges: a line beside one of the other side goes by its own ratio
+    edge = np.zeros(len(r), bool)
+    turn = inside[1:] != inside[:-1]
+    edge[1:] |= turn
+    edge[:-1] |= turn
+    return np.where(edge, own > middle, inside)
 
 
 class _Events(HTMLParser):
@@ -216,72 +234,54 @@ def html_body(html: str | None, sigma: float = Shares.sigma) -> str | None:
     return "\n".join(t for (t, _), keep in zip(rows, regions(r, sigma)) if keep)
 
 
-def decide(lines: list[Line], known: dict[int, int], sigma: float = Shares.sigma) -> list[bool]:
-    """True for each line that is to be removed."""
+def tags(lines: list[Line], known) -> np.ndarray:
+    """Estimated tags of each line. Lines of templates have ``_TEMPLATE_TAGS`` a character."""
     n = len(lines)
-    flags = [known.get(x.key, 0) & (TEMPLATE | HEADING) | (known.get(part_key(x.text), 0) & LABEL if x.words <= 4 else 0) for x in lines]
+    flags = [known(x.key) & (TEMPLATE | HEADING) | (known(part_key(x.text)) & LABEL if x.words <= 4 and not x.table else 0) for x in lines]
     top = next((i for i, x in enumerate(lines) if x.sentence or x.table), n)
-    first = next(([x.key, y.key] for x, y, f, g in zip(lines[:top], lines[1:top], flags, flags[1:]) if f & g & LABEL), None)
-
-    def is_menu(x: Line) -> bool:
-        return len(x.parts) >= 3 and not x.sentence and sum(bool(known.get(part_key(p), 0) & LABEL) for p in x.parts) * 2 >= len(x.parts)
-
-    drop = [False] * n
-    body = [False] * n
+    menu = next(((x.key, y.key) for x, y, f, g in zip(lines[:top], lines[1:top], flags, flags[1:]) if f & g & LABEL), None)
+    linked = [False] * n
     for i, x in enumerate(lines):
-        if x.table:
-            body[i] = True
-        elif flags[i] & TEMPLATE or is_menu(x) or _CRUMB.match(x.text) and not x.sentence and x.text.split()[0].lower().rstrip("/»›>") in _ROOTS:
-            drop[i] = True
-        elif x.sentence:
-            body[i] = True
-    # sidebars: heading, then entries (of one mark, about what entries elsewhere are about)
+        if x.table or x.fact:
+            continue
+        many = len(x.parts) >= 3 and not x.sentence and sum(bool(known(part_key(p)) & LABEL) for p in x.parts) * 2 >= len(x.parts)
+        trail = not x.sentence and _CRUMB.match(x.text) and x.text.split()[0].lower().rstrip("/»›>") in _ROOTS
+        linked[i] = bool(flags[i] & (TEMPLATE | LABEL) or many or trail)
+    # entries below a heading that is elsewhere followed by dated or sized ones: of one mark, about what such entries are about
     i = 0
     while i < n:
-        if flags[i] & HEADING and not body[i]:
-            j = i + 1
+        j = i + 1
+        if flags[i] & HEADING and not (lines[i].sentence or lines[i].table):
             style = lines[j].mark if j < n else ""
-            while j < n and not (body[j] or flags[j] & HEADING or lines[j].gap and j > i + 1):
-                about = known.get(entry_key(lines[j]), 0) & SUBJECT
-                if not (lines[j].entry or about and lines[j].mark == style):
+            while j < n and not (lines[j].table or lines[j].sentence or flags[j] & HEADING or lines[j].gap and j > i + 1):
+                if not (lines[j].entry or known(entry_key(lines[j])) & SUBJECT and lines[j].mark == style):
                     break
-                drop[j] = True
+                linked[j] = True
                 j += 1
-            drop[i] = drop[i] or j > i + 1 or bool(flags[i] & TEMPLATE)
-            i = max(j, i + 1)
-        else:
-            i += 1
-    # a menu word alone between lines of the body is a heading of the body
-    for i, x in enumerate(lines):
-        if drop[i] and flags[i] & LABEL and len(x.parts) == 1 and not x.mark and 0 < i < n - 1:
-            if not drop[i - 1] and not drop[i + 1] and (body[i - 1] or not flags[i - 1]):
-                drop[i] = False
-    # a body list that uses menu words: after a line with a colon that is body
+            linked[i] = linked[i] or j > i + 1
+            if i + 1 < j < n and lines[j].words <= 3 and not lines[j].gap and known(lines[j].key) & LABEL and not flags[j] & LABEL:
+                linked[j] = True  # its closing link
+        i = j
+    # menu words that a line of the body introduces, or that stand alone within it, are its own
     for i, x in enumerate(lines):
-        if x.text.endswith(":") and not drop[i] and not flags[i] & HEADING and not x.table:
-            for j in range(i + 1, min(n, i + 6)):
-                again = lines[j].norm in _ROOTS or first and j + 1 < n and [lines[j].key, lines[j + 1].key] == first  # the menu, once more
-                if flags[j] & LABEL and len(lines[j].parts) == 1 and not lines[j].gap and not again:
-                    drop[j] = False
-                    body[j] = True
-                else:
+        if x.text.endswith(":") and not linked[i] and not flags[i] & HEADING and not x.table:
+            for j in range(i + 1, n):
+                again = lines[j].norm in _ROOTS or menu and j + 1 < n and (lines[j].key, lines[j + 1].key) == menu
+                if not flags[j] & LABEL or lines[j].gap or again:
                     break
-    # what stands between entries of a menu belongs to it
-    for i in range(1, n - 1):
-        if not drop[i] and not body[i] and lines[i].words <= 4 and drop[i - 1] and drop[i + 1] and not lines[i].gap:
-            if flags[i - 1] & LABEL and flags[i + 1] & LABEL and lines[i].mark == lines[i - 1].mark == lines[i + 1].mark and not lines[i + 1].gap:
-                drop[i] = True
-    # what nothing told: by region, where furniture or the page's end is on both sides
-    inside = regions(ratios(lines, lambda x: _tags(x, known)), sigma) if n else []
-    for i in range(n):
-        if not drop[i] and not body[i] and not inside[i] and lines[i].mark == "" and lines[i].words <= 3:
-            if (i == 0 or drop[i - 1]) and (i == n - 1 or drop[i + 1]) and any(inside[:i]) and not any(inside[i:]):
-                drop[i] = True
-    return drop
+                linked[j] = False
+        elif linked[i] and flags[i] & LABEL and not x.mark and 0 < i < n - 1 and not (linked[i - 1] or linked[i + 1]):
+            linked[i] = bool(flags[i - 1])
+    return np.array([_TEMPLATE_TAGS * len(x.text) if t else 1.0 + 2 * max(0, len(x.parts) - 1) * (not x.sentence and not x.fact) + bool(x.mark) for x, t in zip(lines, linked)])
 
 
-def _tags(x: Line, known: dict[int, int]) -> float:
-    return 1 + 2 * max(0, len(x.parts) - 1) + 6 * bool(known.get(x.key, 0) & (TEMPLATE | HEADING)) + 2 * bool(x.mark)
+def decide(lines: list[Line], known, sigma: float) -> np.ndarray:
+    """True for each line that is to be removed; ``known`` gives what was learned of a key."""
+    if not lines:
+        return np.zeros(0, bool)
+    sizes = np.array([len(x.text) for x in lines], float)
+    sizes = np.where([x.table for x in lines], np.maximum(sizes, 60.0), sizes)  # cells are text, however short
+    return ~regions(sizes / tags(lines, known), sigma)
 
 
 # -- what is learned over all pages ------------------------------------------------------------
@@ -304,15 +304,16 @@ def count_lines(lines: list[Line], counts: Counter, linked: Counter, host: str)
     linked.update((host, k) for k in with_entry)
 
 
-def count_beside(lines: list[Line], often, openers, sums: dict) -> None:
-    """Adds a page: for each frequent key, how often frequent lines or the page's ends are before and
+def count_beside(lines: list[Line], often, theirs, openers, sums: dict) -> None:
+    """Adds a page: for each key that is frequent (everywhere or at its host), how often frequent lines or the page's ends are before and
     after it; for each that may be a heading, how often an entry follows, and how often another such
     line is before it then (entries are alike in that, but come after each other)."""
     n = len(lines)
-    hot = [not x.table and x.key in often for x in lines]
+    common = [not x.table and not x.fact and (x.key in often or x.key in theirs) for x in lines]
+    hot = [c or x.entry for c, x in zip(common, lines)]
     may = [not x.table and x.key in openers for x in lines]
     for i, x in enumerate(lines):
-        if hot[i] or may[i]:
+        if common[i] or may[i]:
             s = sums.setdefault(x.key, [0, 0, 0, 0, 0, 0])
             s[0] += 1
             s[1] += i == 0 or hot[i - 1]
@@ -343,35 +344,33 @@ def _pass_1(batches):
         yield _batch(list(zip(*rows)) or [[], [], [], []], _KEYS)
 
 
-def _pass_2(shared):
+def _theirs(b, i: int, host: str, of_host) -> frozenset:
+    """A host's own keys: of the broadcast, or of the row where they are too many for one."""
+    return of_host.value.get(host, frozenset()) if of_host is not None else frozenset(b.column(2)[i].as_py() or ())
+
+
+def _pass_2(shared, of_host):
     def run(batches):
-        often_everywhere, openers = shared.value
+        often, openers = shared.value
         for b in batches:
             sums: dict = {}
-            of_host: dict[str, frozenset] = {}
             for i, (host, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if host not in of_host:
-                    of_host[host] = often_everywhere | frozenset(b.column(2)[i].as_py() or ())
-                count_beside(lines_of(text), of_host[host], openers, sums)
+                count_beside(lines_of(text), often, _theirs(b, i, host, of_host), openers, sums)
             rows = [(k, *s) for k, s in sums.items()]
             yield _batch(list(zip(*rows)) or [[] for _ in _SUMS], _SUMS)
 
     return run
 
 
-def _pass_3(shared, sigma: float):
+def _pass_3(shared, of_host, sigma: float):
     def run(batches):
-        everywhere = shared.value
+        known = shared.value
         for b in batches:
             ids, numbers = [], []
-            of_host: dict[str, dict] = {}
             for i, (host, row_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist())):
-                if host not in of_host:
-                    own = of_host[host] = dict(everywhere)
-                    for k in b.column(2)[i].as_py() or ():
-                        own[k] = own.get(k, 0) | TEMPLATE
+                theirs = _theirs(b, i, host, of_host)
                 lines = lines_of(text)
-                for x, gone in zip(lines, decide(lines, of_host[host], sigma)):
+                for x, gone in zip(lines, decide(lines, lambda k: known.get(k, 0) | (TEMPLATE if k in theirs else 0), sigma)):  # noqa: B023
                     if gone:
                         ids.append(row_id)
                         numbers.append(x.no)
@@ -380,12 +379,12 @@ def _pass_3(shared, sigma: float):
     return run
 
 
-def furniture(pages: DataFrame, rule: Shares = Shares()) -> DataFrame:
+def furniture(pages: DataFrame, rule: Shares = Shares(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(row_id, line_no) of the lines outside the main body. ``pages`` has row_id, url, text.
 
     What goes to the driver is bounded by shares of the pages, not by their number: a key in a part
-    p of all pages can occur at most (lines a page) / p times. Keys of single hosts stay in a table
-    with a row for each host, which is joined with hot hosts apart."""
+    p of all pages can occur at most (lines a page) / p times. Keys of single hosts are broadcast if
+    counted to be at most ``broadcast_rows``, else joined to the pages with hot hosts apart."""
     spark = pages.sparkSession
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[^a-z]*[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
     # written once: three passes read it, and the join that found the hosts is not run again
@@ -398,12 +397,21 @@ def furniture(pages: DataFrame, rule: Shares = Shares()) -> DataFrame:
     frequent = {r[0]: (r[1], r[2]) for r in whole.filter(F.col("n") >= least(rule.subject)).collect()}
     often = frozenset(k for k, (n, _) in frequent.items() if n >= least(rule.everywhere))
     openers = frozenset(k for k, (n, linked) in frequent.items() if n >= least(rule.opener) and linked >= rule.linked * n)
-    own = counts.join(sizes, "host").filter((F.col("pages") >= rule.least_host) & (F.col("n") >= F.greatest(F.lit(float(rule.least)), F.col("pages") * rule.host))).select("host", "key")
-    own = materialize(own)
-    by_host = lambda keys: materialize(sizes.join(keys.groupBy("host").agg(F.collect_list("key").alias("keys")), "host", "left"))
-    with_keys = lambda keys: skew_join(pages, by_host(keys), "host", "pages", total).select("host", "text", "keys", "row_id")
+    own = materialize(counts.join(sizes, "host").filter(F.col("n") >= F.greatest(F.lit(float(rule.least)), F.col("pages") * rule.host)).select("host", "key"))
+
+    def with_keys(keys: DataFrame):
+        if keys.limit(broadcast_rows + 1).count() > broadcast_rows:
+            by_host = materialize(sizes.join(keys.groupBy("host").agg(F.collect_list("key").alias("keys")), "host", "left"))
+            return skew_join(pages, by_host, "host", "pages", total).select("host", "text", "keys", "row_id"), None
+        held: dict[str, set] = {}
+        for h, k in keys.collect():  # counted above
+            held.setdefault(h, set()).add(k)
+        none = F.lit(None).cast("array<bigint>").alias("keys")
+        return pages.select("host", "text", none, "row_id"), spark.sparkContext.broadcast({h: frozenset(ks) for h, ks in held.items()})
+
     shared = spark.sparkContext.broadcast((often, openers))
-    sums = with_keys(own).mapInArrow(_pass_2(shared), "key bigint, " + ", ".join(f"s{i} bigint" for i in range(6)))
+    rows, of_host = with_keys(own)
+    sums = rows.mapInArrow(_pass_2(shared, of_host), "key bigint, " + ", ".join(f"s{i} bigint" for i in range(6)))
     sums = materialize(sums.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)]))
     beside = F.when(F.col("s3") * 2 > F.col("s0"), F.col("s1") / F.col("s0")).otherwise((F.col("s1") + F.col("s2")) / (2 * F.col("s0")))
     template = sums.filter(beside >= rule.beside).select("key")
@@ -416,9 +424,10 @@ def furniture(pages: DataFrame, rule: Shares = Shares()) -> DataFrame:
             known[r["key"]] = known.get(r["key"], 0) | HEADING
     # keys of menu parts and entry subjects are told by their hash; lines have other keys
     for k, (n, _) in frequent.items():
-        known[k] = known.get(k, 0) | SUBJECT | (LABEL if n >= least(rule.everywhere) else 0)
+        known[k] = known.get(k, 0) | SUBJECT | (LABEL if n >= least(rule.label) else 0)
     model = spark.sparkContext.broadcast(known)
-    return with_keys(own.join(template, "key")).mapInArrow(_pass_3(model, rule.sigma), "row_id bigint, line_no int")
+    rows, of_host = with_keys(materialize(own.join(template, "key")))
+    return rows.mapInArrow(_pass_3(model, of_host, rule.sigma), "row_id bigint, line_no int")
 
 
 def corpus_furniture(corpus: DataFrame, manifest: DataFrame, rule: Shares = Shares()) -> DataFrame:

@@ -80,6 +80,26 @@ def test_body_and_furniture(spark):
     want = {(i, k) for i, _, _, gone in pages for k, g in enumerate(gone, 1) if g}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert boilerplate.furniture(df.limit(0)).count() == 0
+    joined = {tuple(r) for r in boilerplate.furniture(df, broadcast_rows=0).collect()}  # host keys joined, not broadcast
+    assert joined == got
+
+
+def test_regions_decide_what_goes(monkeypatch):
+    lines = boilerplate.lines_of("Home\nNews\nOffice: Room 4\nA paragraph of some words that ends here.\nStaff\nOddly named\nContact")
+    known = {boilerplate.key_of(boilerplate.key_text(t)): boilerplate.TEMPLATE for t in ("Home", "News", "Office: Room 4", "Staff", "Contact")}
+    gone = boilerplate.decide(lines, lambda k: known.get(k, 0), boilerplate.Shares.sigma)
+    assert gone.tolist() == [True, True, False, False, True, True, True]  # the unknown line goes with what stands around it
+    monkeypatch.setattr(boilerplate, "regions", lambda r, sigma: np.ones(len(r), bool))
+    assert not boilerplate.decide(lines, lambda k: known.get(k, 0), boilerplate.Shares.sigma).any()
+
+
+def test_bodies_keep_their_columns(spark):
+    pages = site(60)
+    corpus = spark.createDataFrame([(i, "c", t, 1) for i, _, t, _ in pages] + [(901, None, None, 1)], "row_id bigint, category string, text string, line_no int")
+    manifest = spark.createDataFrame([(i, u) for i, u, _, _ in pages], "row_id bigint, url string")
+    got = boilerplate.bodies(corpus, manifest)
+    assert got.columns == corpus.columns and got.count() == 61
+    assert got.filter("row_id = 0").first().text.startswith(pages[0][2].split("\n")[2])
 
 
 def test_html_regions():
