@@ -366,6 +366,17 @@ def test_scarce_source_leaves_the_others_whole(spark):
     assert got["few"].actual_share < 0.2 and abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
 
 
+def test_same_mix_under_any_partitioning(spark):
+    df = docs(spark)
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.2, 1), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    more = df.unionByName(df.limit(1).select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) if c == "doc_id" else F.col(c) for c in df.columns]))
+    more = more.unionByName(more.filter("doc_id IS NULL")).unionByName(more.filter("doc_id IS NULL"))
+    got = [sorted(map(tuple, mixing.mix(more.repartition(n), targets, seed=5, window=16, fan=2).rows.collect()), key=str) for n in (1, 3, 9)]
+    assert got[0] and got[0] == got[1] == got[2]
+    other = sorted(map(tuple, mixing.mix(more, targets, seed=6, window=16, fan=2).rows.collect()), key=str)
+    assert other != got[0]
+
+
 # 9 -----------------------------------------------------------------------------------------------
 def test_spam(spark):
     rnd = random.Random(4)
