@@ -1,14 +1,17 @@
 """Problem 9: keyword-stuffed pages, link lists and tag or product lists.
 
-Every line (and every sentence of a line) is reduced to its shape: bucketed word count, capitals,
-separators, links, digits and whether it reads as a sentence; words of a phrase that the page
-itself repeats without end are marked in the shape. Pages most of whose words stand in few
-non-sentence shapes are candidates, and those whose shapes leave no doubt (links, hash tags, lists
-of short repeated phrases, one phrase forced into most sentences) are spam at once. Structured
-pages look alike in shape (directories, agendas, product lists), so an exact check follows for all
-candidates: phrases that are typical of the undoubted pages against the other candidates are
-counted over all data, and a candidate is spam if most of its units hold such a phrase or a link.
-Two rounds; the second counts with the first one's decisions.
+Every line (and every sentence of a line) is reduced to its shape: word count, capitals, separators and
+links, whether it reads as a sentence, and whether it holds a phrase that the page repeats without end
+or begins like many other sentences of the page; the last two are no sentences of prose, whatever they
+look like. Lines are grouped by shape, and a page is flagged if its ``few`` commonest non-sentence
+shapes hold half of its words. All that follows looks at flagged pages only.
+
+Structured pages (directories, agendas, product lists) are dominated by few shapes too, so an exact check
+confirms: pages whose shapes leave no doubt (links, hash tags, lists of short repeated phrases, one
+phrase forced into most sentences) are spam; phrases that are typical of these against the other flagged
+pages are counted over all data, and a flagged page is spam if most of its units hold such a phrase or a
+link. Two rounds; the second counts with the first one's decisions. A flagged page is written once, as
+the words of its units; copies of a text share one vote, by a count of text hashes, so no text is shuffled.
 
 Defined results: null and empty texts, and texts below ``least_words`` without links, are no cases;
 copies of a text are judged alike; tables (lines that begin with a pipe) count as neutral; other
@@ -22,15 +25,16 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.physical import materialize, skew_join
+from ..plans.physical import join_small, materialize, skew_join
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)", re.I)
 _ADDRESS = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SPLIT = re.compile(r"(?<=[^\W_]{3}[.!?;])\s+|(?<=[!?;])\s+")  # not after short abbreviations
+_STOP = re.compile(r"[.!?;]\s+")
 _PHRASES = re.compile(r"[,;·|•/>\n.!?:#]+|\s[–—-]\s|(?<=\s)#")
 _HASH_TAG = re.compile(r"#\w+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -47,11 +51,14 @@ _FUNCTION = frozenset(
 
 @dataclass(frozen=True)
 class Spam:
-    """``share``: part of a page's units that must be spam; ``least_words``: shorter pages without
+    """``dominated``: part of the words that the ``few`` commonest non-sentence shapes of a flagged page
+    hold; ``share``: part of its units that must be spam; ``least_words``: shorter pages without
     links are never cases; ``typical``: part of the candidates with a phrase that must be spam for
     the phrase to count, ``least_pages`` of them at least; ``lexicon``: most phrases broadcast (more
     of them stay a table and are joined, see ``_joined``)."""
 
+    dominated: float = 0.5
+    few: int = 4
     share: float = 0.5
     least_words: int = 12
     typical: float = 0.5
@@ -59,58 +66,128 @@ class Spam:
     lexicon: int = 100_000
 
 
-def bucket(n: int) -> int:
-    return n if n < 4 else 4 + (n.bit_length() - 2) if n < 64 else 9
+_HEAD = 3  # function words that tell how a sentence begins
 
 
 class Unit:
-    """A line or sentence: words in lower case and its shape."""
+    """A line or sentence: its words in lower case, addresses, and whether it reads as a sentence."""
 
-    __slots__ = ("text", "words", "links", "table", "sentence", "shape", "phrases")
+    __slots__ = ("text", "words", "names", "links", "table", "sentence", "separators", "address_words")
 
     def __init__(self, text: str):
         self.text = text
-        self.links = len(_ADDRESS.findall(text))
         self.table = text.lstrip().startswith("|")
-        bare = _LINK.sub(" ", text) if self.links else text
-        found = _WORD.findall(_CAMEL.sub(" ", bare) if "#" in bare else bare)
-        self.words = [w.lower() for w in found]
-        n = len(found)
-        function = sum(w in _FUNCTION for w in self.words)
-        separators = sum(bare.count(c) for c in ",;·|#•")
-        ends = bare.rstrip("\"'”’) \t\r")[-1:] in (".", "!", "?", ":")
-        self.sentence = n >= 5 and function >= max(1, n // 8) and separators * 4 <= n and not self.links
-        caps = sum(w[:1].isupper() for w in found)
-        # words, capitals in quarters, separators, links, digits, end mark, reads as sentence
-        self.shape = (bucket(n), 4 * caps // max(1, n), bucket(separators), min(self.links, 2), any(c.isdigit() for c in bare), ends, self.sentence)
+        low = text.lower()
+        found = _ADDRESS.findall(text) if "://" in low or "www." in low else []
+        self.links = len(found)
+        self.address_words = [w.lower() for a in found for w in _WORD.findall(re.sub("[-_+]", " ", a.partition("//")[2].partition("/")[2]))]
+        bare = _LINK.sub(" ", text) if found else text
+        self.names = _WORD.findall(_CAMEL.sub(" ", bare) if "#" in bare else bare)
+        self.words = [w.lower() for w in self.names] if found or "#" in bare else _WORD.findall(low)
+        n = len(self.words)
+        self.separators = sum(map(bare.count, ",;·|#•"))
+        self.sentence = n >= 5 and not found and self.separators * 4 <= n and sum(map(_FUNCTION.__contains__, self.words)) >= max(1, n // 8)
+
+    def weight(self) -> int:
+        """Words; an address counts as six."""
+        return max(1, len(self.words)) + 6 * self.links
+
+    def head(self) -> tuple[str, ...]:
+        out = []
+        for w in self.words:
+            if w in _FUNCTION:
+                out.append(w)
+                if len(out) == _HEAD:
+                    break
+        return tuple(out)
+
+    def packed(self) -> str:
+        return f"{'t' if self.table else 's' if self.sentence else '-'}{self.links}\t{' '.join(self.words)}\t{' '.join(self.address_words)}"
+
+    @staticmethod
+    def unpacked(row: str) -> Unit:
+        u = Unit.__new__(Unit)
+        head, words, address = row.split("\t")
+        u.table, u.sentence, u.links = head[0] == "t", head[0] == "s", int(head[1:])
+        u.words, u.address_words = words.split(" ") if words else [], address.split(" ") if address else []
+        return u
+
+
+def sentences(line: str) -> list[str]:
+    """A long line cut after its stops, but not after short abbreviations."""
+    out, at = [], 0
+    for m in _STOP.finditer(line):
+        a = m.start()
+        if line[a] in "!?;" or a >= 3 and line[a - 3 : a].isalnum():
+            out.append(line[at : a + 1])
+            at = m.end()
+    return [*out, line[at:]]
 
 
 def units_of(text: str) -> list[Unit]:
     out = []
     for line in text.split("\n"):
         if line.strip():
-            out += [Unit(x) for x in (_SPLIT.split(line) if len(line) > 60 and not line.lstrip().startswith("|") else [line]) if x.strip()]
+            out += [Unit(x) for x in (sentences(line) if len(line) > 60 and not line.lstrip().startswith("|") else [line]) if x.strip()]
     return out
 
 
-def repeated_phrase(units: list[Unit], n_words: int) -> tuple[tuple[str, str] | None, float]:
-    """The pair of words that covers most of the page beyond chance, and its cover; lines that are
-    repeated whole (refrains) count once."""
+def pair_counts(units: list[Unit], least: float) -> Counter:
+    """How often pairs of content words follow each other that come ``least`` times or more; lines that
+    are repeated whole (refrains) count once."""
+    once = {tuple(u.words) for u in units if not u.table}
+    counts: Counter = Counter()
+    for words in once:
+        counts.update(words)
+    often = {w for w, n in counts.items() if n >= least and w not in _FUNCTION}
     pairs: Counter = Counter()
-    for words in {tuple(u.words) for u in units if not u.table}:
-        pairs.update(p for p in zip(words, words[1:]) if not (p[0] in _FUNCTION or p[1] in _FUNCTION))
+    if often:
+        for words in once:
+            pairs.update([p for p in zip(words, words[1:]) if p[0] in often and p[1] in often])
+    return Counter({p: n for p, n in pairs.items() if n >= least})
+
+
+def repeated_phrase(units: list[Unit], n_words: int) -> tuple[tuple[str, str] | None, float]:
+    """The pair of words that covers most of the page beyond chance, and its cover."""
+    pairs = pair_counts(units, 4)
     if not pairs:
         return None, 0.0
     pair, n = max(pairs.items(), key=lambda x: (x[1], x[0]))
-    return pair, 2 * n / max(1, n_words) if n >= 4 else 0.0
+    return pair, 2 * n / max(1, n_words)
+
+
+def shapes(units: list[Unit]) -> tuple[Counter, int]:
+    """Weight of each non-sentence shape, and of the whole page; tables have no shape."""
+    n_words = sum(len(u.words) for u in units)
+    keys = pair_counts(units, max(4, n_words / 60))
+    heads = Counter(u.head() for u in {tuple(u.words): u for u in units if u.sentence}.values())
+    alike = {h for h, n in heads.items() if len(h) >= 2 and n >= max(4, 0.2 * len(units))}
+    weights: Counter = Counter()
+    total = 0
+    for u in units:
+        n, w = len(u.words), u.weight()
+        total += w
+        keyed = bool(keys) and any(p in keys for p in zip(u.words, u.words[1:]))
+        formal = u.sentence and u.head() in alike
+        if u.table or u.sentence and not keyed and not formal:
+            continue
+        capitals = 2 * sum(map(str.isupper, (x[0] for x in u.names))) > n
+        separators = 0 if not u.separators else 1 if u.separators * 6 <= n else 2
+        weights[min(n.bit_length(), 5), capitals, separators, min(u.links, 1), u.sentence, keyed, formal] += w
+    return weights, total
+
+
+def flagged(units: list[Unit], rule: Spam) -> bool:
+    weights, total = shapes(units)
+    return total > 0 and sum(w for _, w in weights.most_common(rule.few)) >= rule.dominated * total
 
 
 def judge(text: str, rule: Spam) -> tuple[int, list[Unit]] | None:
-    """2: spam beyond doubt by shape alone; 1: candidate; None: prose."""
+    """2: flagged, and spam beyond doubt; 1: flagged; None: not dominated by few non-sentence shapes."""
     units = units_of(text)
     n_words = sum(len(u.words) for u in units)
     links = sum(u.links for u in units)
-    if n_words < rule.least_words and links < 3:
+    if n_words < rule.least_words and links < 3 or not flagged(units, rule):
         return None
     linked = sum(u.links > 0 for u in units)
     if links >= 4 and linked >= 0.6 * len(units):
@@ -135,17 +212,7 @@ def judge(text: str, rule: Spam) -> tuple[int, list[Unit]] | None:
             return 2, units
         if vocabulary <= 0.2 * inside and not directory:
             return 2, units
-    # candidates: few non-sentence shapes hold much of the page, or a phrase or links recur
-    loose = Counter()
-    for u in plain:
-        if not u.sentence:
-            loose[u.shape] += len(u.words) + u.links
-    top = sum(n for _, n in loose.most_common(8))
-    if top >= 0.3 * (n_words + links) or cover >= 0.05 or links >= 3 and linked >= 0.3 * len(units):
-        return 1, units
-    if len(plain) >= 5 and n_words <= 15 * len(plain):  # many short units, sentences or not
-        return 1, units
-    return None
+    return 1, units
 
 
 def phrases_of(units: list[Unit], sure: bool) -> set[str]:
@@ -155,9 +222,7 @@ def phrases_of(units: list[Unit], sure: bool) -> set[str]:
     for u in units:
         if u.table or sure and u.sentence:
             continue
-        words = u.words
-        if u.links:
-            words = words + [w.lower() for a in _ADDRESS.findall(u.text) for w in _WORD.findall(re.sub("[-_+]", " ", a.partition("//")[2].partition("/")[2]))]
+        words = u.words + u.address_words
         out.update(w for w in words if len(w) >= 4 and w not in _FUNCTION)
         out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a not in _FUNCTION and b not in _FUNCTION)
     if sure:
@@ -171,7 +236,7 @@ def spam_share(units: list[Unit], lexicon) -> float:
     """Part of the units (by words; an address counts as six) that hold a link or a typical phrase."""
     total = hit = 0.0
     for u in units:
-        weight = max(1, len(u.words)) + 6 * u.links
+        weight = u.weight()
         total += weight
         if u.table:
             continue
@@ -186,63 +251,58 @@ def spam_share(units: list[Unit], lexicon) -> float:
     return hit / total if total else 0.0
 
 
-def _first(rule: Spam):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("sure", pa.int32())])
+_FLAGGED = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("units", pa.list_(pa.string())), ("sure", pa.int32())])
+_ROWS = "doc_id bigint, key string, units array<string>, sure int"
 
+
+def _first(rule: Spam):
     def run(batches):
         for b in batches:
-            ids, texts, sure = [], [], []
+            cols: list[list] = [[], [], [], []]
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if d is None or not t or not suspicious(t):
-                    continue
-                got = judge(t, rule)
+                got = judge(t, rule) if d is not None and t else None
                 if got:
-                    ids.append(d)
-                    texts.append(t)
-                    sure.append(int(got[0] == 2))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sure, pa.int32())], schema=schema)
+                    for c, v in zip(cols, (d, xxhash.xxh3_128_hexdigest(t), [u.packed() for u in got[1]], int(got[0] == 2))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FLAGGED.types)], schema=_FLAGGED)
 
     return run
 
 
-_STOPS = re.compile(r"[.!?](?:\s|$)")
+def _unpacked(column) -> list[list[Unit]]:
+    return [[Unit.unpacked(x) for x in page] for page in column.to_pylist()]
 
 
-def suspicious(text: str) -> bool:
-    """Cheap necessary condition for ``judge``: ordinary prose has a stop every few lines, no
-    word that makes up a large part of it, and few links. Holds for every candidate."""
-    words = text.split()
-    n = len(words)
-    if n < 150 or text.count("://") >= 3:
-        return True
-    counts = Counter(words)
-    common = max((c for w, c in counts.most_common(40) if len(w) > 3 and w.lower() not in _FUNCTION), default=0)
-    if common * 40 >= n:
-        return True
-    lines = text.count("\n") + 1
-    stops = len(_STOPS.findall(text))
-    return stops * 25 < n or lines * 25 > n or n < 6 * stops
+def _is_sure(units: list[Unit], before: int, lexicons: list, rule: Spam) -> bool:
+    return bool(before) or any(spam_share(units, lexicon) >= rule.share for lexicon in lexicons)
 
 
-def _phrase_rows():
-    schema = pa.schema([("phrase", pa.string()), ("sure", pa.int32())])
+def _phrase_rows(lexicons, rule: Spam):
+    """Phrases with their votes among sure pages and all; each of n copies of a text has an n-th of a vote."""
+    schema = pa.schema([("phrase", pa.string()), ("spam", pa.float64()), ("n", pa.float64())])
 
     def run(batches):
+        known = [x.value for x in lexicons]
         for b in batches:
-            held: Counter = Counter()
-            for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.update((p, s) for p in phrases_of(units_of(t), bool(s)))
-            rows = [(p, s, n) for (p, s), n in held.items()]
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], schema=schema.append(pa.field("n", pa.int64())))
+            held: dict[str, list[float]] = {}
+            for units, sure, copies in zip(_unpacked(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                vote = 1.0 / (copies or 1)
+                sure = _is_sure(units, sure, known, rule)
+                for p in phrases_of(units, sure):
+                    h = held.setdefault(p, [0.0, 0.0])
+                    h[0] += vote * sure
+                    h[1] += vote
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.float64()), pa.array([h[1] for h in held.values()], pa.float64())], schema=schema)
 
     return run
 
 
-def _typical(texts: DataFrame, rule: Spam) -> DataFrame:
-    """(phrase, n) of the phrases typical of sure pages, counted over distinct texts of all candidates."""
-    counted = texts.select("text", "sure").mapInArrow(_phrase_rows(), "phrase string, sure int, n bigint").groupBy("phrase").agg(F.sum(F.col("n") * F.col("sure")).alias("spam"), F.sum("n").alias("n"))
-    return materialize(counted.filter((F.col("spam") >= rule.least_pages) & (F.col("spam") >= F.col("n") * rule.typical)).select("phrase", "n"))
+def _typical(pages: DataFrame, many: DataFrame, lexicons: list, rule: Spam) -> DataFrame:
+    """(phrase, n) of the phrases typical of sure pages, counted over the distinct texts of all flagged
+    ones. ``many``: (key, copies) of texts that recur."""
+    voted = join_small(pages, many, ["key"], "left").select("units", "sure", "copies")
+    counted = voted.mapInArrow(_phrase_rows(lexicons, rule), "phrase string, spam double, n double").groupBy("phrase").agg(F.round(F.sum("spam"), 6).alias("spam"), F.round(F.sum("n"), 6).alias("n"))
+    return materialize(counted.filter((F.col("spam") >= rule.least_pages) & (F.col("spam") >= F.col("n") * rule.typical)).select("phrase"))
 
 
 def looked_up(units: list[Unit]) -> set[str]:
@@ -256,64 +316,53 @@ def looked_up(units: list[Unit]) -> set[str]:
 
 
 def _lookups(batches):
-    schema = pa.schema([("key", pa.string()), ("phrase", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("phrase", pa.string())])
     for b in batches:
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = sorted(looked_up(units_of(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found, pa.string())], schema=schema)
+        for d, k, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2))):
+            found = sorted(looked_up(units))
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(found), pa.int64()), pa.array([k] * len(found), pa.string()), pa.array(found, pa.string())], schema=schema)
 
 
 def _with_own(rule: Spam):
-    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("sure", pa.int32())])
-
     def run(batches):
         for b in batches:
-            sure = [int(s or spam_share(units_of(t), frozenset(own or ())) >= rule.share) for t, s, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.int32())], schema=schema)
+            sure = [int(_is_sure(units, s, [frozenset(own or ())], rule)) for units, s, own in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sure, pa.int32())], schema=_FLAGGED)
 
     return run
 
 
-def _joined(pages: DataFrame, texts: DataFrame, typical: DataFrame, rule: Spam) -> DataFrame:
-    """A round without a broadcast: each open text gets the typical phrases that it holds."""
-    asked = materialize(texts.filter("sure = 0").select("key", "text").mapInArrow(_lookups, "key string, phrase string"))
-    total = max(asked.count(), typical.agg(F.sum("n")).first()[0] or 0)  # bounds the hot phrases
-    own = skew_join(asked, typical, "phrase", "n", total).groupBy("key").agg(F.collect_list("phrase").alias("own"))
-    judged = texts.join(own, "key", "left").select("key", "n", "text", "sure", "own").mapInArrow(_with_own(rule), "key string, n bigint, sure int")
-    keyed = pages.select("doc_id", "text", _key().alias("key"))
-    return skew_join(keyed, materialize(judged), "key", "n", pages.count()).select("doc_id", "text", "sure")
+def _joined(pages: DataFrame, typical: DataFrame, rule: Spam) -> DataFrame:
+    """A round without a broadcast: each open page gets the typical phrases that it holds."""
+    asked = materialize(pages.filter("sure = 0").select("doc_id", "key", "units").mapInArrow(_lookups, "doc_id bigint, key string, phrase string").distinct())
+    sizes = materialize(asked.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).join(typical, "phrase"))
+    own = skew_join(asked, sizes, "phrase", "n", asked.count()).groupBy("doc_id", "key").agg(F.collect_list("phrase").alias("own"))
+    held = pages.join(own, ["doc_id", "key"], "left").select("doc_id", "key", "units", "sure", "own")
+    return materialize(held.mapInArrow(_with_own(rule), _ROWS))
 
 
-def _second(lexicon, rule: Spam):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("sure", pa.int32())])
+def _decided(lexicons, rule: Spam):
+    schema = pa.schema([("doc_id", pa.int64())])
 
     def run(batches):
+        known = [x.value for x in lexicons]
         for b in batches:
-            known = lexicon.value
-            texts, before = b.column(1).to_pylist(), b.column(2).to_pylist()
-            sure = [int(s or spam_share(units_of(t), known) >= rule.share) for t, s in zip(texts, before)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.int32())], schema=schema)
+            ids = [d for d, units, s in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist()) if _is_sure(units, s, known, rule)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], schema=schema)
 
     return run
 
 
-_ROWS = "doc_id bigint, text string, sure int"
-
-
-def _key():
-    return F.concat_ws("-", F.md5("text"), F.xxhash64("text"))
-
-
 def spam_pages(docs: DataFrame, rule: Spam = Spam(), rounds: int = 2) -> DataFrame:
     """(doc_id) of the pages that are spam."""
     spark = docs.sparkSession
     pages = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_first(rule), _ROWS))
+    many = materialize(pages.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    lexicons: list = []
     for _ in range(rounds):
-        once = pages.groupBy(_key().alias("key")).agg(F.first("text").alias("text"), F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n"))
-        typical = _typical(once, rule)
+        typical = _typical(pages, many, lexicons, rule)
         if typical.count() <= rule.lexicon:
-            known = spark.sparkContext.broadcast(frozenset(r[0] for r in typical.select("phrase").collect()))
-            pages = materialize(pages.mapInArrow(_second(known, rule), _ROWS))
+            lexicons.append(spark.sparkContext.broadcast(frozenset(r[0] for r in typical.collect())))
         else:
-            pages = materialize(_joined(pages, materialize(once), typical, rule))
-    return pages.filter("sure = 1").select("doc_id").distinct()
+            pages = _joined(pages, typical, rule)
+    return pages.select("doc_id", "units", "sure").mapInArrow(_decided(lexicons, rule), "doc_id bigint").distinct()

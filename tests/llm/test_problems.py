@@ -413,6 +413,24 @@ def test_phrases_beyond_the_broadcast(spark):
         assert sorted(r.doc_id for r in spam.spam_pages(df, spam.Spam(lexicon=most)).collect()) == want
 
 
+def test_shapes_decide_which_pages_are_looked_at(spark, monkeypatch):
+    spam_text = "\n".join(f"Order the {w} lamp in red for {k}.50 with code AB{k}!" for k, w in enumerate(["new", "best", "top", "last"] * 3))
+    prose = "The ferry was late, so we had to wait at the pier until six. Nobody had told us that it would rain. When the captain came on deck, he asked for our tickets and smiled. It is a short trip. My sister slept all the way, but I watched the shore go by."
+    assert spam.flagged(spam.units_of(spam_text), spam.Spam()) and not spam.flagged(spam.units_of(prose), spam.Spam())
+    lists = "Tags: " + ", ".join(["free coins", "loan offers", "best pills"] * 9)
+    df = spark.createDataFrame([(1, lists), (1, lists), (2, prose), (3, "a\tb\x1fc " * 9)], "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
+    monkeypatch.setattr(spam, "flagged", lambda units, rule: False)  # nothing is found without the shapes
+    assert all(spam.judge(t, spam.Spam()) is None for t in (spam_text, prose, lists))
+
+
+def test_units_come_back_from_the_table():
+    for t in ("See https://a.example/free-coins_now and http://b.example.", "| a | b |", "#OneTag #TwoTags", "", "It is late, so we will go home.", "İstanbul ſtreet ẞ"):
+        for u in spam.units_of(t):
+            v = spam.Unit.unpacked(u.packed())
+            assert (v.words, v.address_words, v.links, v.table, v.sentence) == (u.words, u.address_words, u.links, u.table, u.sentence)
+
+
 def test_counters_of_tokens_reset():
     c = tokens.Counter(dims=4)
     texts = pa.array(["one two", None, "", "three  four"])
