@@ -419,7 +419,7 @@ def test_shapes_decide_which_pages_are_looked_at(spark, monkeypatch):
     assert spam.flagged(spam.units_of(spam_text), spam.Spam()) and not spam.flagged(spam.units_of(prose), spam.Spam())
     lists = "Tags: " + ", ".join(["free coins", "loan offers", "best pills"] * 9)
     df = spark.createDataFrame([(1, lists), (1, lists), (2, prose), (3, "a\tb\x1fc " * 9)], "doc_id bigint, text string")
-    assert [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
+    assert sorted(r.doc_id for r in spam.spam_pages(df).collect()) == [1, 3]  # 3 repeats three words
     monkeypatch.setattr(spam, "flagged", lambda units, rule: False)  # nothing is found without the shapes
     assert all(spam.judge(t, spam.Spam()) is None for t in (spam_text, prose, lists))
 
