@@ -1,16 +1,17 @@
 """Problem 5: template residue, filler, error messages and demands for scripts.
 
-A record's title parts and URL path parts are its passages. Passages that hold template syntax, or
-whose wording leaves no doubt (``trusted``), are the positive examples, all others are unlabelled: a
-naive Bayes model over words and word pairs is fitted by expectation-maximization, in which
-unlabelled passages move over to the positive side as far as the model believes it. Passages are
-scored, a record is bad if one of its passages is, and a page is bad with all entries that
+A record's title parts and URL path parts are its passages. Trusted ones are template syntax, standard
+filler, statuses, and passages equal to one of the given ``RECORDS``. A naive Bayes model over words and
+word pairs is fitted by expectation-maximization to trusted wordings (positive) and all other passages
+(unlabelled), in which unlabelled passages move over to the positive side as far as the model believes
+it. A passage can only be believed if more than half of its content words are known from trusted
+wordings and speak for it, so pages about errors, scripts or templates, whose other words are of their
+subject, stay. A record is bad if one of its passages is, and a page is bad with all entries that
 ``canonical`` finds to be copies.
 
-The fit uses all distinct passages: on the driver if counted to be at most ``positives`` trusted and
-``unlabelled`` other ones, else by aggregations (``fit_all``) with the same result. Then the driver
-holds the words of trusted and of undecided passages and the ordinary words, never the passages;
-every record is scored.
+Counts are aggregated over all passages. Only undecided passages move, which have mostly trusted words and
+are few; rounds go over them on the driver if counted to be at most ``held``, else by aggregations with
+the same result. The driver holds the features of these and of trusted wordings; every record is scored.
 
 Defined results: null and empty titles say nothing; a null URL gives no passages; entries without
 url or slug are judged alone; copies count with their page even if their own title is blank; an
@@ -35,15 +36,19 @@ from .canonical import digest, page_key
 
 @dataclass(frozen=True)
 class Fit:
-    positives: int = 50_000
-    unlabelled: int = 150_000
+    """``held``: most undecided passages that are fitted on the driver; ``weight``: entries that each
+    given record counts as; ``least``: entries a feature must be in; ``strong``, ``pair``: log odds from
+    which a word or a word pair speaks for a passage; ``covered``: part of the content words that must."""
+
+    held: int = 100_000
     rounds: int = 8
     smoothing: float = 0.5
     threshold: float = 0.5
-    least: int = 2  # entries a feature must be in
-    common: int = 30  # an ordinary word: entries, different passages, part of them trusted
-    places: int = 8
-    rare: float = 0.04
+    least: int = 2
+    weight: int = 3
+    strong: float = 1.0
+    pair: float = 0.5
+    covered: float = 0.5
 
 
 # Template syntax of common engines, unfilled: these can't be content.
@@ -55,25 +60,39 @@ SYNTAX = re.compile(
     | &lt;/?\w+&gt; | \[object\ object\] | (?:^|\s)%[sd](?:$|\s) | \{{\d\}} | (?:^|/):[a-z]+_[a-z]+ | (?:^|/)%[a-z]+%(?:$|/)""",
     re.X | re.I,
 )
-# Wordings that only errors, filler and script notices use.
-TRUSTED = re.compile(
-    r"""\b(?:lorem|ipsum|lipsum|consectetur|adipiscing|incididunt)\b
-    | ^(?:error\ )?(?:http\ )?[45]\d\d$ | ^(?:http\ )?[45]\d\d\W+(?:not\ found|forbidden|gone|unavailable|service\ unavailable|bad\ gateway|internal\ server\ error)$
-    | \b(?:page|seite|file|record|request|document)\b.*\b(?:could\ not\ be\ found|not\ found$|nicht\ gefunden|introuvable|cannot\ be\ shown|no\ longer\ available|failed\ to\ load|can['’]t\ be\ found|produced\ an\ error|moved\ or\ deleted)
-    | ^(?:page\ )?not\ found$ | \b(?:p[áa]gina\ no\ encontrada|page\ introuvable)\b | ^(?:access\ denied|untitled(?:\ document)?|hello\ world!?|placeholder|sample\ page)$
-    | \b(?:enable|activate|allow|turn\ on|switch\ on|needs?|requires?|activez|aktivieren)\b.*\b(?:javascript|js|scripts?|scripting|active\ content)\b
-    | ^(?:warning|fatal\ error|parse\ error|notice):\ .*\b(?:line|php|memory|variable|failed)\b | \b\w+\.php\b | \bexception\ in\b
-    | \b(?:too\ many\ requests|(?:bad\ gateway|gateway\ time-?out|internal\ server\ error|service\ unavailable))\b | \btry\ again\ later\b
-    | \b(?:asdf|qwerty)\b | \bblah\ blah\b | \b(?:sample|dummy|filler)\ text\b | \bcopy\ of\ copy\b | ^undefined$ | ^null$ | ^(?:your|insert|type|page|todo)\b.*\b(?:title|heading|slug|name|url)\b(?:\ (?:goes\ )?here)?
-    | \b(?:dummy|placeholder|sample|demo|example)\ (?:page|content|post|title)\b | \b(?:replace\ me|delete\ me|please\ delete)\b | \bsession\ has\ (?:expired|timed\ out)\b
-    | \bdown\ for\ maintenance\b | \bno\ longer\ exists?\b | ^x{2,}-?\d+\ | \b(?:dolor\ sit\ amet|service\ unavailable)\b
-    | \bcould\ not\ process\ your\ request\b | \bsomething\ went\ wrong\b | ^(?:not\ found|forbidden|gone|bad\ request|unauthorized)\s*\([45]\d\d\)$ | ^(?:[45]\d\d|errors?)\.html?$
-    | \bjavascript\b.*\b(?:aktivieren|is\ required|disabled|must\ be)\b | \bno-?script\b | ^(?:test\ ?){2,}$ | ^(?:(?P<c>\w)(?P=c){3,}\W*)+$""",
-    re.X | re.I,
-)
+# Trusted records, which are default messages of servers, browsers' script notices and
+# placeholders of site generators; case, punctuation and digits evened out.
+RECORDS = tuple(
+    """page not found|the page could not be found|oops that page can't be found|the page you asked for no longer exists
+this page is no longer available|the page was moved or deleted|the page cannot be shown|the page failed to load
+your request produced an error|we could not process your request|something went wrong|sorry this record could not be found
+notice the file you want could not be found|seite nicht gefunden|page introuvable|página no encontrada|pagina no encontrada
+access denied|nothing found here|we are sorry|your session has expired|too many requests try again later
+this site is temporarily down for maintenance|error establishing a database connection
+warning undefined variable in index php on line 0|fatal error memory limit reached in index php
+enable javascript|please enable javascript to continue|javascript is required to view this page|this page needs javascript
+you need to turn on javascript to use this site|javascript disabled|please turn on scripts in your browser
+bitte javascript aktivieren|activez javascript pour afficher cette page|noscript|noscript scripts must be switched on
+kindly activate javascript and reload|your browser does not run scripts|this app does not work without javascript
+just a moment|checking your browser before you continue|to go on switch on active content and reload
+you must allow js to see this page|please enable scripting
+hello world|sample page|just another site|untitled document|new page copy of copy|placeholder|this is a placeholder page
+dummy page 0|demo content|lipsum generator text|page title here|your heading goes here|your page url here|insert title
+insert slug here|type the title of the page|todo title|title of document replace me|please delete|xxx 0 course title
+undefined|null|blah blah|asdf qwerty|asdf asdf""".replace("\n", "|").split("|")
+)
+FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"
+FILLED = ("lorem ipsum ", "sample text for ")  # before any subject
+STATUS_NAMES = ("bad request", "unauthorized", "forbidden", "not found", "gone", "too many requests", "internal server error", "bad gateway", "service unavailable", "gateway time-out")
+FUNCTION = frozenset("a an and at before by can do does for from in is it no not of on or so than that the then this to was we when with you your".split())
+_NAMES = "|".join(STATUS_NAMES).replace("time-out", "time-?out")
+_ALONE = "|".join(n for n in STATUS_NAMES if " " in n and n != "bad request" and n != "too many requests").replace("time-out", "time-?out")
+STATUS = re.compile(rf"(?:error |http |http error )?[45]\d\d(?:\W+(?:{_NAMES}))?(?:\.html?)?|(?:{_NAMES})(?:\s*\([45]\d\d\)|\s+[45]\d\d)|{_ALONE}|errors?\.html?")
+SAME = re.compile(r"(\w{3,})(?:\W+\1)+|(\w)\2{3,}(?:\W+\2{3,})*")  # one word or letter again and again
+_KNOWN = frozenset(RECORDS)
+_FILLER = frozenset(FILLER.split())
 _CODE = re.compile(r"\b[a-z]{2}\s?[-–_]\s?\d{3}\b", re.I)
 _PARTS = re.compile(r"\s+(?:\||::|–|—|-)\s+|\s{0,1}\|\s{0,1}")
-_TOLD = "+"  # marks words of trusted passages in a model
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -92,9 +111,17 @@ def passages(url: str | None, title: str | None) -> list[str]:
     return out
 
 
-def certain(passage: str) -> bool:
-    words = passage[1:].replace("-", " ").replace("_", " ") if passage[:1] == "/" else passage
-    return bool(SYNTAX.search(passage)) or bool(TRUSTED.search(words.strip())) and not _CODE.search(passage)
+def kind(passage: str) -> int:
+    """1: trusted wording; 2: trusted, but its words teach nothing (template syntax, filler around a
+    subject, repetition); 0: unlabelled."""
+    if SYNTAX.search(passage):
+        return 2
+    bare = passage[1:].replace("-", " ").replace("_", " ") if passage[:1] == "/" else passage
+    text = " ".join(re.sub(r"[^\w'’ ]+", " ", bare.replace(".html", "")).split())
+    words = text.split()
+    if text.startswith(FILLED) or SAME.fullmatch(text):
+        return 2
+    return int(re.sub(r"\d+", "0", text) in _KNOWN or bool(STATUS.fullmatch(bare)) or len(words) > 1 and all(w in _FILLER for w in words))
 
 
 def features(passage: str) -> list[str]:
@@ -112,66 +139,45 @@ def features(passage: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(["^", *words], ends)]
 
 
-def fit(counted: list[tuple[str, bool, int]], conf: Fit = Fit()) -> dict[str, float]:
-    """Log odds of each feature, and the prior under ``""``, from (passage, trusted, entries)."""
-    rows = [(features(p), sure, n) for p, sure, n in counted]
-    rows = [r for r in rows if r[0]]
-    seen: Counter = Counter()
-    for fs, _, n in rows:
-        for f in set(fs):
-            seen[f] += n
-    ordinary = ordinary_words(rows, conf)
-    known = {f for f, n in seen.items() if n >= conf.least}
-    rows = [([f for f in fs if f in known], sure, n) for fs, sure, n in rows]
-    belief = [1.0 if sure else 0.0 for _, sure, _ in rows]
-    told = {f for fs, sure, _ in rows if sure for f in fs if " " not in f}
-    fixed = [sure or _ordinary_in(fs, ordinary) or not told.intersection(fs) for fs, sure, _ in rows]
-    odds: dict[str, float] = {}
-    for _ in range(conf.rounds):
-        pos: Counter = Counter()
-        neg: Counter = Counter()
-        for (fs, _, n), b in zip(rows, belief):
-            for f in fs:
-                if b > 0.01:
-                    pos[f] += b * n
-                if b < 1:
-                    neg[f] += (1 - b) * n
-        n_pos, n_neg, a = sum(pos.values()), sum(neg.values()), conf.smoothing
-        if not n_pos or not n_neg:
-            break
-        # each side against what it would hold by chance: a feature seen rarely says little
-        part = n_pos / (n_pos + n_neg)
-        odds = {f: math.log((pos[f] + a) / ((pos[f] + neg[f]) * part + a)) - math.log((neg[f] + a) / ((pos[f] + neg[f]) * (1 - part) + a)) for f in known}
-        whole = sum(n for _, _, n in rows)
-        share = min(0.5, max(1e-4, sum(b * n for b, (_, _, n) in zip(belief, rows)) / whole))
-        odds[""] = math.log(share / (1 - share))
-        new = [b if f else _belief(fs, odds) for b, f, (fs, _, _) in zip(belief, fixed, rows)]
-        moved = sum(abs(x - y) * n for x, y, (_, _, n) in zip(new, belief, rows))
-        belief = new
-        if moved < 1e-5 * whole:
-            break
-    for f in ordinary:  # for scoring: they decide against a passage
-        odds[f] = -99.0
-    odds.update({_TOLD + f: 1.0 for f in told})
-    return odds
+@dataclass(frozen=True)
+class Model:
+    """Log odds of features, the prior under ``""``; the features of trusted wordings."""
 
+    odds: dict[str, float]
+    told: frozenset[str]
 
-def ordinary_words(rows, conf: Fit) -> frozenset[str]:
-    """Words of the collection's real subjects: in many entries and different passages, hardly ever
-    in trusted ones. A passage with such a word and no trusted wording is a reliable negative, which
-    keeps pages about errors, scripts or templates from being drawn over."""
-    n, sure_n, places = Counter(), Counter(), Counter()
-    for fs, sure, count in rows:
-        for f in {f for f in fs if " " not in f and f != "0"}:
-            n[f] += count
-            places[f] += 1
-            if sure:
-                sure_n[f] += count
-    return frozenset(f for f in n if n[f] >= conf.common and places[f] >= conf.places and sure_n[f] <= conf.rare * n[f])
 
+def given_records(conf: Fit) -> list[tuple[str, int, int]]:
+    """(passage, kind, entries) of the records that every fit starts from."""
+    statuses = [x for n in STATUS_NAMES for x in (n, f"{n} 503", f"404 {n}")]
+    return [(r, 1, conf.weight) for r in [*RECORDS, FILLER, *statuses]]
 
-def _ordinary_in(fs: list[str], ordinary) -> bool:
-    return any(f in ordinary for f in fs)
+
+def _content(words: list[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if w != "0" and w not in FUNCTION]
+
+
+def may_be_believed(fs: list[str], told, conf: Fit) -> bool:
+    """Necessary for ``believed`` under any odds."""
+    words = [f for f in fs if " " not in f]
+    at = _content(words)
+    return sum(words[i] in told for i in at) > conf.covered * len(at)
+
+
+def believed(fs: list[str], model: Model, conf: Fit, path: bool = False) -> float:
+    """Belief that a passage with these features is residue. Words that are strong themselves or part of
+    a pair that is must cover it; a path part, which is short, must have all its pairs from trusted
+    wordings; a single word is trusted or nothing."""
+    n = sum(" " not in f for f in fs)
+    if n < 2:
+        return 0.0
+    speaks = lambda f, least: f in model.told and model.odds.get(f, 0.0) >= least
+    pairs = [speaks(f, conf.pair) for f in fs[n + 1 : -1]]  # between its words
+    if path and not all(pairs):
+        return 0.0
+    at = _content(fs[:n])
+    good = sum(speaks(fs[i], conf.strong) or i > 0 and pairs[i - 1] or i < n - 1 and pairs[i] for i in at)
+    return _belief(fs, model.odds) if good > conf.covered * len(at) else 0.0
 
 
 def _belief(fs: list[str], odds: dict[str, float]) -> float:
@@ -180,32 +186,23 @@ def _belief(fs: list[str], odds: dict[str, float]) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, s))))
 
 
-def score(passage: str, odds: dict[str, float]) -> float:
-    """Belief that a passage is residue. A path part is short, so all of its
-    words must speak for it and be known from trusted passages."""
-    if certain(passage):
-        return 1.0
-    fs = features(passage)
-    if passage[:1] == "/":
-        words = [f for f in fs if " " not in f]
-        if len(words) < 2 or any(odds.get(w, 0.0) < 0.5 or _TOLD + w not in odds for w in words):
-            return 0.0
-    return _belief(fs, odds) if any(_TOLD + f in odds for f in fs) else 0.0
+def score(passage: str, model: Model, conf: Fit = Fit()) -> float:
+    return 1.0 if kind(passage) else believed(features(passage), model, conf, passage[:1] == "/")
 
 
 def _list_passages(batches):
-    schema = pa.schema([("passage", pa.string()), ("sure", pa.bool_()), ("n", pa.int64())])
+    schema = pa.schema([("passage", pa.string()), ("kind", pa.int32()), ("n", pa.int64())])
     for b in batches:
         found = Counter(p for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in passages(u, t))
         names = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([certain(p) for p in names], pa.bool_()), pa.array([found[p] for p in names], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([kind(p) for p in names], pa.int32()), pa.array([found[p] for p in names], pa.int64())], schema=schema)
 
 
-def _judge(model, threshold: float):
+def _judge(shared, conf: Fit):
     schema = pa.schema([("row_id", pa.int64()), ("h", pa.binary()), ("bad", pa.int32())])
 
     def run(batches):
-        odds = model.value
+        model = shared.value
         memo: dict[str, bool] = {}
         for b in batches:
             bad = []
@@ -216,7 +213,7 @@ def _judge(model, threshold: float):
                     if known is None:
                         if len(memo) > 500_000:
                             memo.clear()
-                        known = memo[p] = score(p, odds) >= threshold
+                        known = memo[p] = score(p, model, conf) >= conf.threshold
                     hit = hit or known
                 bad.append(int(hit))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bad, pa.int32())], schema=schema)
@@ -224,11 +221,11 @@ def _judge(model, threshold: float):
     return run
 
 
-_STATS = pa.schema([("feature", pa.string()), *[(c, pa.int64()) for c in ("seen", "places", "sure_n", "uses", "sure_uses")]])
+_STATS = pa.schema([("feature", pa.string()), *[(c, pa.int64()) for c in ("seen", "uses", "sure_uses")]])
 
 
 def _feature_rows(batches):
-    """For each feature: entries, passages, entries of trusted passages, uses, uses in these; under ``""`` of all passages."""
+    """For each feature: entries, uses, uses in trusted wordings; under ``""`` of all passages."""
     for b in batches:
         sums: dict[str, list[int]] = {}
         for p, sure, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -236,103 +233,102 @@ def _feature_rows(batches):
             if held:
                 held[""] = 1
             for f, k in held.items():
-                s = sums.setdefault(f, [0, 0, 0, 0, 0])
-                for i, x in enumerate((n, 1, n * sure, k * n, k * n * sure)):
+                s = sums.setdefault(f, [0, 0, 0])
+                for i, x in enumerate((n, k * n, k * n * sure)):
                     s[i] += x
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((f, *s) for f, s in sums.items())) if sums else [[]] * 6, _STATS.types)], schema=_STATS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((f, *s) for f, s in sums.items())) if sums else [[]] * 4, _STATS.types)], schema=_STATS)
 
 
-def _undecided(shared):
-    schema = pa.schema([("fs", pa.list_(pa.string())), ("n", pa.int64())])
+def _undecided(shared, conf: Fit):
+    schema = pa.schema([("fs", pa.list_(pa.string())), ("path", pa.bool_()), ("n", pa.int64())])
 
     def run(batches):
-        told, ordinary = shared.value
+        told = shared.value
         for b in batches:
-            rows = [(features(p), n) for p, sure, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if not sure]
-            rows = [(fs, n) for fs, n in rows if told.intersection(fs) and not _ordinary_in(fs, ordinary)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.types[0]), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
+            rows = [(features(p), p[:1] == "/", n) for p, sure, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if not sure]
+            rows = [r for r in rows if may_be_believed(r[0], told, conf)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return run
 
 
-def _moves(shared):
-    schema = pa.schema([("feature", pa.string()), ("pos", pa.float64()), ("gone", pa.float64())])
+def move(rows, before: Model | None, model: Model, conf: Fit) -> dict[str, list[float]]:
+    """Mass that undecided passages (features, path, entries) bring to each feature's positive side; under
+    ``""`` their belief and how far it moved."""
+    sums: dict[str, list[float]] = {"": [0.0, 0.0]}
+    for fs, path, n in rows:
+        now = believed(fs, model, conf, path)
+        sums[""][0] += now * n
+        sums[""][1] += abs(now - (believed(fs, before, conf, path) if before else 0.0)) * n
+        if now > 0:
+            for f in fs:
+                if f in model.odds:
+                    sums.setdefault(f, [0.0, 0.0])[0] += now * n
+    return sums
+
+
+def _moves(shared, conf: Fit):
+    schema = pa.schema([("feature", pa.string()), ("pos", pa.float64()), ("moved", pa.float64())])
 
     def run(batches):
-        before, odds = shared.value
+        before, model = shared.value
         for b in batches:
-            sums: dict[str, list[float]] = {"": [0.0, 0.0]}  # belief, and how far it moved
-            for fs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs = [f for f in fs if f in odds]
-                now = _belief(fs, odds)
-                sums[""][0] += now * n
-                sums[""][1] += abs(now - (_belief(fs, before) if before else 0.0)) * n
-                for f in fs:
-                    s = sums.setdefault(f, [0.0, 0.0])
-                    s[0] += now * n if now > 0.01 else 0.0
-                    s[1] += now * n
+            sums = move(zip(*(b.column(i).to_pylist() for i in range(3))), before, model, conf)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s[0] for s in sums.values()]), pa.array([s[1] for s in sums.values()])], schema=schema)
 
     return run
 
 
-def fit_all(listed: DataFrame, conf: Fit = Fit()) -> dict[str, float]:
-    """``fit`` over a table (passage, sure, n) of any size. Only undecided passages move, so a round is
-    one pass over these; odds that no score needs are left out."""
-    share_with = listed.sparkSession.sparkContext.broadcast
-    counts = ["seen", "places", "sure_n", "uses", "sure_uses"]
-    stats = listed.select("passage", "sure", "n").mapInArrow(_feature_rows, "feature string, " + ", ".join(f"{c} bigint" for c in counts))
+def fit(listed: DataFrame, conf: Fit = Fit()) -> Model:
+    """The model from a table (passage, kind, n) of all passages."""
+    spark = listed.sparkSession
+    share_with = spark.sparkContext.broadcast
+    taught = listed.filter("kind < 2").select("passage", "kind", "n").unionByName(spark.createDataFrame(given_records(conf), "passage string, kind int, n bigint"))
+    counts = ["seen", "uses", "sure_uses"]
+    stats = taught.mapInArrow(_feature_rows, "feature string, " + ", ".join(f"{c} bigint" for c in counts))
     stats = materialize(stats.groupBy("feature").agg(*[F.sum(c).alias(c) for c in counts]))
     top = stats.filter("feature = ''").first()
-    if top is None:
-        return {}
-    stats = stats.filter(F.col("feature") != "")
-    known, word = stats.filter(F.col("seen") >= conf.least), ~F.contains("feature", F.lit(" "))
-    told = frozenset(r[0] for r in known.filter(word & (F.col("sure_n") > 0)).select("feature").collect())
-    usual = word & (F.col("feature") != "0") & (F.col("seen") >= conf.common) & (F.col("places") >= conf.places) & (F.col("sure_n") <= F.lit(conf.rare) * F.col("seen"))
-    ordinary = frozenset(r[0] for r in stats.filter(usual).select("feature").collect())
-    free = materialize(listed.select("passage", "sure", "n").mapInArrow(_undecided(share_with((told, ordinary))), "fs array<string>, n bigint"))
+    known = stats.filter(F.col("feature") != "").filter((F.col("seen") >= conf.least) | (F.col("sure_uses") > 0))
+    told = frozenset(r[0] for r in known.filter("sure_uses > 0").select("feature").collect())  # of given wordings only
+    free = materialize(taught.mapInArrow(_undecided(share_with(told), conf), "fs array<string>, path boolean, n bigint"))
     needed = free.select(F.explode("fs").alias("feature")).distinct().withColumn("free", F.lit(True))
-    base = {r[0]: (r[1], r[2]) for r in known.join(needed, "feature", "left").filter("free OR sure_n > 0").select("feature", "sure_uses", "uses").collect()}
+    base = {r[0]: (r[1], r[2]) for r in known.join(needed, "feature", "left").filter("free OR sure_uses > 0").select("feature", "sure_uses", "uses").collect()}
     sure_uses, uses = known.agg(F.sum("sure_uses"), F.sum("uses")).first()
-    moved: dict[str, tuple[float, float]] = {}
-    odds: dict[str, float] = {}
+    sure_n = taught.filter("kind = 1").agg(F.sum("n")).first()[0]
+    few = free.limit(conf.held + 1).count() <= conf.held
+    rows = [tuple(r) for r in free.collect()] if few else []
+    moved: dict[str, list[float]] = {}
+    before, model = None, Model({}, told)
     for _ in range(conf.rounds):
-        n_pos = (sure_uses or 0) + sum(p for f, (p, _) in moved.items() if f)
-        n_neg = (uses or 0) - (sure_uses or 0) - sum(g for f, (_, g) in moved.items() if f)
-        if not n_pos or n_neg <= 0:
-            break
-        part, a, before, odds = n_pos / (n_pos + n_neg), conf.smoothing, odds, {}
+        more = {f: s[0] for f, s in moved.items() if f}
+        part, a, odds = min(1 - 1e-6, (sure_uses + sum(more.values())) / uses), conf.smoothing, {}
         for f, (sure, every) in base.items():
-            p, gone = moved.get(f, (0.0, 0.0))
-            pos, neg = sure + p, every - sure - gone
-            odds[f] = math.log((pos + a) / ((pos + neg) * part + a)) - math.log((neg + a) / ((pos + neg) * (1 - part) + a))
-        share = min(0.5, max(1e-4, (top["sure_n"] + moved.get("", (0.0, 0.0))[0]) / top["seen"]))
+            pos = sure + more.get(f, 0.0)
+            # a prior around what chance would give: a feature that was never seen says nothing
+            odds[f] = math.log((pos + a * part) / part) - math.log((every - pos + a * (1 - part)) / (1 - part))
+        share = min(0.5, max(1e-4, (sure_n + moved.get("", [0.0])[0]) / top["seen"]))
         odds[""] = math.log(share / (1 - share))
-        sums = free.mapInArrow(_moves(share_with((before, odds))), "feature string, pos double, gone double")
-        moved = {r[0]: (r[1], r[2]) for r in sums.groupBy("feature").agg(F.sum("pos"), F.sum("gone")).collect()}
-        if moved.get("", (0.0, 0.0))[1] < 1e-5 * top["seen"]:
+        before, model = model if model.odds else None, Model(odds, told)
+        if few:
+            moved = move(rows, before, model, conf)
+        else:
+            sums = free.mapInArrow(_moves(share_with((before, model)), conf), "feature string, pos double, moved double")
+            moved = {r[0]: [r[1], r[2]] for r in sums.groupBy("feature").agg(F.sum("pos"), F.sum("moved")).collect()}
+        if moved.get("", [0.0, 0.0])[1] < 1e-5 * top["seen"]:
             break
-    for f in ordinary:
-        odds[f] = -99.0
-    odds.update({_TOLD + f: 1.0 for f in told})
-    return odds
+    return model
 
 
-def model_of(manifest: DataFrame, conf: Fit = Fit()) -> dict[str, float]:
-    listed = materialize(manifest.select("url", "title").mapInArrow(_list_passages, "passage string, sure boolean, n bigint").groupBy("passage").agg(F.max("sure").alias("sure"), F.sum("n").alias("n")))
-    n_sure, n_all = listed.agg(F.count_if("sure"), F.count(F.lit(1))).first()
-    if n_sure > conf.positives or n_all - n_sure > conf.unlabelled:
-        return fit_all(listed, conf)
-    return fit([(r[0], r[1], r[2]) for r in listed.orderBy(F.desc("sure"), F.xxhash64("passage"), "passage").collect()], conf)
+def model_of(manifest: DataFrame, conf: Fit = Fit()) -> Model:
+    return fit(materialize(manifest.select("url", "title").mapInArrow(_list_passages, "passage string, kind int, n bigint").groupBy("passage").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))), conf)
 
 
 def bad_entries(manifest: DataFrame, conf: Fit = Fit()) -> DataFrame:
     """(row_id) of all entries of pages with residue."""
-    odds = manifest.sparkSession.sparkContext.broadcast(model_of(manifest, conf))
+    model = manifest.sparkSession.sparkContext.broadcast(model_of(manifest, conf))
     key = F.when(F.col("url").isNotNull() & F.col("slug").isNotNull(), digest(page_key()))
     rows = manifest.select(F.col("row_id").cast("bigint"), key.alias("h"), "url", "title")
-    judged = materialize(rows.mapInArrow(_judge(odds, conf.threshold), "row_id bigint, h binary, bad int"))
+    judged = materialize(rows.mapInArrow(_judge(model, conf), "row_id bigint, h binary, bad int"))
     pages = materialize(judged.filter("h IS NOT NULL").groupBy("h").agg(F.max("bad").alias("page_bad"), F.count(F.lit(1)).alias("n")).filter("page_bad = 1"))
     found = skew_join(judged.filter("h IS NOT NULL"), pages, "h", "n", judged.count()).select("row_id")
     return found.unionByName(judged.filter("h IS NULL AND bad = 1").select("row_id")).distinct()

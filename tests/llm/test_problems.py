@@ -228,13 +228,25 @@ def test_residue_fit_on_all_passages(spark):
     titles = [f"{rnd.choice(['Study', 'Report', 'Theory'])} of {rnd.choice(nouns)} {rnd.choice(nouns)}" for _ in range(300)]
     titles += ["Page not found", "Your page could not be found", "Page missing", "Not found here", "Please enable JavaScript", "Enable scripts please", "Lorem ipsum", "Ipsum page lorem", "Sorry, page missing"] * 3
     df = spark.createDataFrame([(i, f"https://h.example/c-{i}/", f"c-{i}", t) for i, t in enumerate(titles)], "row_id bigint, url string, slug string, title string").repartition(3)
-    tiny = residue.Fit(positives=2, unlabelled=5)
-    whole, by_parts = residue.model_of(df), residue.model_of(df, tiny)
-    assert by_parts.keys() <= whole.keys() and any(v == -99.0 for v in by_parts.values())
-    assert all(abs(whole[f] - v) < 1e-6 for f, v in by_parts.items())
-    for t in {p for t in titles for p in residue.passages(None, t)}:
-        assert abs(residue.score(t, whole) - residue.score(t, by_parts)) < 1e-6
-    assert rows(residue.bad_entries(df, tiny)) == rows(residue.bad_entries(df))
+    none = residue.Fit(held=0)
+    whole, by_parts = residue.model_of(df), residue.model_of(df, none)
+    assert by_parts.told == whole.told and by_parts.odds.keys() == whole.odds.keys()
+    assert all(abs(whole.odds[f] - v) < 1e-6 for f, v in by_parts.odds.items())
+    assert rows(residue.bad_entries(df, none)) == rows(residue.bad_entries(df))
+
+
+def test_residue_finds_wordings_that_no_record_has(spark):
+    rnd = random.Random(3)
+    nouns = "rivers stones clouds gardens letters bridges".split()
+    some = lambda: f"{rnd.choice(nouns)} and {rnd.choice(nouns)}"
+    real = [f"{rnd.choice(['Study', 'Report', 'Theory'])} of {some()}" for _ in range(200)]
+    real += [f"{p} {some()}" for p in ("JavaScript and", "Page tables and", "Error analysis in", "Access denied? Appeals on", "Not found in nature:", "Hello world: first workshop on", "Undefined behaviour and") for _ in range(6)] + ["Untitled: student art show", "Lost and found office"] * 5
+    held_out = ["Kindly switch on scripting in your browser", "You must activate JavaScript to continue", "Sorry, your request could not be found", "The file you want was moved or deleted", "Oops, this record cannot be shown"]
+    assert not any(residue.kind(p) for t in held_out + real for p in residue.passages(None, t))
+    for n in (1, 20):  # few or many records
+        titles = held_out + real * n
+        df = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(titles)], "row_id bigint, url string, slug string, title string")
+        assert sorted(r.row_id for r in residue.bad_entries(df).collect()) == list(range(len(held_out)))
 
 
 # 6 -----------------------------------------------------------------------------------------------
