@@ -151,28 +151,37 @@ def _matches(wanted):
 _M64 = (1 << 64) - 1
 
 
-def repeated_lines(docs: DataFrame, rule: Repeats = Repeats(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, source, line_no, key): every occurrence of a repeated line. ``docs`` has id, source, text.
-    The candidate set is broadcast to the second pass if it was counted to be within
-    ``broadcast_rows`` (16 bytes a row); else the lines are joined to it by shuffle."""
-    spark = docs.sparkSession
-    docs = docs.filter("source IS NOT NULL")
+def _wanted(spark, may: DataFrame, broadcast_rows: int):
+    """A broadcast of (source hash ^ key) of candidates and the hashes of sources to be counted whole, or
+    None if there are more than ``broadcast_rows`` (16 bytes a row)."""
+    if may.limit(broadcast_rows + 1).count() > broadcast_rows:
+        return None
+    rows = may.collect()  # counted above
+    mixed = np.array([(k ^ xxhash.xxh3_64_intdigest(s)) & _M64 for s, k in rows if k is not None], np.uint64)
+    salts = np.array([xxhash.xxh3_64_intdigest(s) for s, k in rows if k is None], np.uint64)
+    return spark.sparkContext.broadcast((mixed, salts))
+
+
+def _confirmed(docs: DataFrame, rule: Repeats, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate lines; the confirmed ones of them: mark, s, k, n_lines). ``docs`` has id, source, text."""
     may, sources = candidates(docs, rule)
-    small = may.limit(broadcast_rows + 1).count() <= broadcast_rows
-    wanted = None
-    if small:
-        rows = may.collect()  # counted above
-        mixed = np.array([(k ^ xxhash.xxh3_64_intdigest(s)) & _M64 for s, k in rows if k is not None], np.uint64)
-        salts = np.array([xxhash.xxh3_64_intdigest(s) for s, k in rows if k is None], np.uint64)
-        wanted = spark.sparkContext.broadcast((mixed, salts))
+    wanted = _wanted(docs.sparkSession, may, broadcast_rows)
     lines = docs.select(F.col("id").cast("string"), "source", "text").mapInArrow(_matches(wanted), _LINES)
-    if not small:
+    if wanted is None:
         named = may.filter("key IS NOT NULL")
         every = may.filter("key IS NULL").select("source")
         lines = lines.join(every, "source", "left_semi").unionByName(lines.join(named, ["source", "key"], "left_semi"))
     lines = materialize(lines.withColumn("mark", F.xxhash64("source", "key")))
     counts = lines.groupBy("mark", "source", "key").agg(F.sum("first").alias("n"), F.count(F.lit(1)).alias("n_lines"))
-    sure = materialize(counts.join(sources.select("source", "need"), "source").filter(F.col("n") >= F.col("need")).select("mark", F.col("source").alias("s"), F.col("key").alias("k"), "n_lines"))
+    sure = counts.join(sources.select("source", "need"), "source").filter(F.col("n") >= F.col("need"))
+    return lines, materialize(sure.select("mark", F.col("source").alias("s"), F.col("key").alias("k"), "n_lines"))
+
+
+def repeated_lines(docs: DataFrame, rule: Repeats = Repeats(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, source, line_no, key): every occurrence of a repeated line. ``docs`` has id, source, text.
+    The candidate set is broadcast to the second pass if it was counted to be within
+    ``broadcast_rows``; else the lines are joined to it by shuffle."""
+    lines, sure = _confirmed(docs.filter("source IS NOT NULL"), rule, broadcast_rows)
     if sure.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hit = lines.join(F.broadcast(sure), "mark")
     else:
@@ -185,10 +194,55 @@ def chunk_lines(chunks: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     return repeated_lines(chunks.select("id", F.col("source_url").alias("source"), "text"), rule).select("id", "line_no")
 
 
-def without_repeats(chunks: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
-    """``chunks`` with the repeated lines taken out of ``text``; ``n_removed`` tells how many."""
-    gone = chunk_lines(chunks, rule).groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
-    rows = chunks.drop("n_removed").join(gone, "id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", (i + 1).cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone").select(*[c for c in chunks.columns if c != "n_removed"], "n_removed")
+def _cleaned(wanted):
+    """Texts without the lines of a broadcast set, or of the row's own ``keys`` where there is none."""
+
+    def run(batches):
+        sets = frozenset(wanted.value[0].tolist()) if wanted else None
+        for b in batches:
+            out, removed = [], []
+            for i, (source, text) in enumerate(zip(b.column("_source").to_pylist(), b.column("_text").to_pylist())):
+                own = (b.column("_keys")[i].as_py() or ()) if sets is None else None
+                gone = 0
+                if text and source is not None and (sets or own):
+                    salt = xxhash.xxh3_64_intdigest(source)
+                    kept = []
+                    for line in text.split("\n"):
+                        key = line_key(line)
+                        if key is not None and (key in own if sets is None else ((key ^ salt) & _M64) in sets):
+                            gone += 1
+                        else:
+                            kept.append(line)
+                    text = "\n".join(kept)
+                out.append(text)
+                removed.append(gone)
+            rest = [b.column(i) for i, f in enumerate(b.schema) if f.name not in ("_source", "_text", "_keys")]
+            names = [f.name for f in b.schema if f.name not in ("_source", "_text", "_keys")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(removed, pa.int32())], names=[*names, "_text", "_removed"])
+
+    return run
+
+
+def without_repeats(chunks: DataFrame, rule: Repeats = Repeats(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``chunks`` with the repeated lines taken out of ``text``; ``n_removed`` tells how many. Lines are
+    removed row by row, by a broadcast set of the confirmed ones (counted to be within
+    ``broadcast_rows``; beyond that each row gets the keys of its source by a join that parts hot ones),
+    so no text is shuffled and ids need not be unique."""
+    spark = chunks.sparkSession
+    docs = chunks.select("id", F.col("source_url").alias("source"), "text").filter("source IS NOT NULL")
+    _, sure = _confirmed(docs, rule, broadcast_rows)
+    sure = sure.select(F.col("s").alias("source"), F.col("k").alias("key"))
+    names = [c for c in chunks.columns if c not in ("text", "n_removed")]
+    wanted = _wanted(spark, sure, broadcast_rows)
+    rows = chunks.select(*names, F.col("source_url").alias("_source"), F.col("text").alias("_text"))
+    if wanted is None:
+        own = sure.groupBy("source").agg(F.collect_list("key").alias("_keys"))  # at most 1 / share * lines a document
+        sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+        keyed = materialize(own.join(sizes, "source").withColumnRenamed("source", "_source"))
+        rows = skew_join(rows, keyed, "_source", "_n", chunks.count(), "left").drop("_n")
+    else:
+        rows = rows.withColumn("_keys", F.lit(None).cast("array<bigint>"))
+    fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in names), "_text string", "_removed int"])
+    clean = rows.select(*names, "_source", "_text", "_keys").mapInArrow(_cleaned(wanted), schema)
+    return clean.select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in chunks.columns if c != "n_removed"], F.col("_removed").alias("n_removed"))

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.physical import join_small, materialize
+
 _WORD = re.compile(r"\S+")
 _GAPS = re.compile(r"\s+")
 _SENTENCE_END = ".!?…"
@@ -168,15 +170,22 @@ def split(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataF
     )
 
 
-def renumber(pieces: DataFrame, source: Column, index: str = "chunk_index", span: int = 512) -> DataFrame:
+_SPAN = 512
+
+
+def _block_offsets(blocks: DataFrame) -> DataFrame:
+    """(_source, _block, _before, _all): pieces before a block and in all, from (_source, _block, _n)."""
+    by = Window.partitionBy("_source")
+    before = by.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("_source", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(by).alias("_all"))
+
+
+def renumber(pieces: DataFrame, source: Column, index: str = "chunk_index", span: int = _SPAN) -> DataFrame:
     """``chunk_index`` and ``n_chunks`` anew over all pieces of a source, in order of the old index,
     the id and the piece. Running counts go over blocks of ``span`` old indices, so a source with
     very many chunks is numbered by many tasks. Null sources and indices count as one value each."""
     p = pieces.withColumn("_source", source).withColumn("_block", F.floor(F.coalesce(F.col(index), F.lit(-1)) / span))
-    blocks = p.groupBy("_source", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy("_source")
-    before = by.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_source", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(by).alias("_all"))
+    offsets = _block_offsets(p.groupBy("_source", "_block").agg(F.count(F.lit(1)).alias("_n")))
     p = p.alias("p").join(offsets.alias("o"), F.expr("p._source <=> o._source AND p._block = o._block")).select("p.*", "o._before", "o._all")
     order = [F.col(index).asc_nulls_first()] + ([F.col("id")] if "id" in pieces.columns else []) + [F.col("piece")]
     within = F.row_number().over(Window.partitionBy("_source", "_block").orderBy(*order))
@@ -191,7 +200,32 @@ def chunk_source() -> Column:
 
 
 def split_chunks(chunks: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    return renumber(split(chunks, "text", limits), chunk_source())
+    """``split`` and ``renumber`` of a chunk table. Numbers are worked out on narrow rows, and only chunks
+    that are cut or get other numbers are joined back (broadcast if counted to be few), so texts stay
+    where they are. Tables with repeated or null ids go through ``renumber``."""
+    cuts = cuts_udf(limits)(F.when(may_exceed(F.col("text"), limits), F.col("text")))
+    n = F.greatest(F.coalesce(F.size("_cuts"), F.lit(1)), F.lit(1))
+    narrow = chunks.select("id", chunk_source().alias("_source"), F.col("chunk_index").alias("_old"), F.col("n_chunks").alias("_old_n"), cuts.alias("_cuts"))
+    narrow = materialize(narrow.withColumn("_n", n).withColumn("_cuts", F.when(n > 1, F.col("_cuts"))).withColumn("_block", F.floor(F.coalesce(F.col("_old"), F.lit(-1)) / _SPAN)))
+    if narrow.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR id IS NULL").limit(1).count():
+        return renumber(split(chunks, "text", limits), chunk_source())
+    numbers = narrow.drop("_cuts").join(_block_offsets(narrow.groupBy("_source", "_block").agg(F.sum("_n").alias("_n"))), ["_source", "_block"])  # no null source, as ids aren't null
+    order = Window.partitionBy("_source", "_block").orderBy(F.col("_old").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = numbers.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    other = ~(F.col("_first").eqNullSafe(F.col("_old")) & F.col("_all").eqNullSafe(F.col("_old_n"))) | (F.col("_n") > 1)
+    moved = materialize(numbers.filter(other).select("id", "_first", "_all").join(narrow.filter("_n > 1").select("id", "_cuts"), "id", "left"))
+    names = [c for c in chunks.columns if c not in ("piece", "n_pieces", "piece_start", "piece_end")]
+    rows = join_small(chunks.select(*names), moved, ["id"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+    rows = rows.withColumn("_cuts", F.coalesce("_cuts", whole))
+    rows = rows.select(*names, "_first", "_all", F.size("_cuts").alias("n_pieces"), F.posexplode("_cuts").alias("piece", "_c"))
+    piece = F.when(F.col("n_pieces") == 1, F.col("text")).otherwise(F.expr("substring(text, _c.start + 1, _c.end - _c.start)"))
+    new = {"text": piece, "chunk_index": (F.coalesce("_first", "chunk_index") + F.col("piece")).cast("int"), "n_chunks": F.coalesce("_all", "n_chunks").cast("int")}
+    kept = [c for c in names if c not in ("chunk_index", "n_chunks")]
+    return rows.select(
+        *[new[c].alias(c) if c in new else F.col(c) for c in kept], "piece", "n_pieces",
+        F.col("_c.start").alias("piece_start"), F.col("_c.end").alias("piece_end"), new["chunk_index"].alias("chunk_index"), new["n_chunks"].alias("n_chunks"),
+    )
 
 
 def oversized(chunks: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -208,6 +208,17 @@ def test_lines_removed(spark):
     assert {(r.text, r.n_removed) for r in repeated.without_repeats(df).collect()} == {(f"body {c}", 1) for c in "abcdef"}
 
 
+def test_lines_removed_by_row_and_not_by_id(spark):
+    data = [("d0", "s", "body a\nFooter"), ("d0", "s", "Footer 9\nkeep me please"), ("d0", "s", None), (None, "s", "Footer\nb"), ("d1", "s", "c\n footer "), ("d2", "s", "FOOTER\r\nd"), ("d3", None, "Footer\ne"), ("d4", "t", "")]
+    data += [(f"e{k}", "s", f"x{'abc'[k]}") for k in range(3)]
+    df = spark.createDataFrame(data, "id string, source_url string, text string")
+    want = sorted([("body a", 1), ("Footer 9\nkeep me please", 0), ("b", 1), ("c", 1), ("d", 1), ("Footer\ne", 0), ("", 0), (None, 0), ("xa", 0), ("xb", 0), ("xc", 0)], key=str)
+    rule = repeated.Repeats(least=3)
+    for limit in (10, 0):
+        assert sorted([(r.text, r.n_removed) for r in repeated.without_repeats(df, rule, limit).collect()], key=str) == want
+    assert repeated.without_repeats(df.limit(0)).count() == 0
+
+
 # 5 -----------------------------------------------------------------------------------------------
 def test_residue(spark):
     good = [(i, f"https://h.example/course/c-{i}/", f"c-{i}", f"{n} of {s} | Site") for i, (n, s) in enumerate([(n, s) for n in ("Study", "Report", "Theory", "Handbook") for s in ("rivers", "stones", "clouds", "gardens", "letters") for _ in range(8)])]
@@ -289,6 +300,17 @@ def test_pieces(spark):
     assert rows(blocks.select("id", "piece", "chunk_index")) == rows(splitting.split_chunks(df).select("id", "piece", "chunk_index"))
 
 
+def test_pieces_numbered_on_narrow_rows(spark):
+    long = "\n".join(f"Sentence number {k} goes on for some more words." for k in range(400))
+    data = [(f"c/s{a}#{k}", long if (a + k) % 4 == 0 else f"short {k}", k if a else k * 2, 5, "x") for a in range(3) for k in range(5)] + [("c/s9#0", None, 0, 1, "x")]
+    df = spark.createDataFrame(data, "id string, text string, chunk_index int, n_chunks int, piece string")
+    narrow, wide = splitting.split_chunks(df), splitting.renumber(splitting.split(df), splitting.chunk_source())
+    assert rows(narrow.select(wide.columns)) == rows(wide) and set(narrow.columns) == set(wide.columns)
+    twice = df.unionByName(df.filter("chunk_index = 0"))
+    assert rows(splitting.split_chunks(twice).select(wide.columns)) == rows(splitting.renumber(splitting.split(twice), splitting.chunk_source()).select(wide.columns))
+    assert splitting.split_chunks(df.limit(0)).count() == 0
+
+
 # 7, 8 --------------------------------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab .'\n\t\r 　é日1,s\x1c"), max_size=60))
