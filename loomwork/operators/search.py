@@ -1,7 +1,8 @@
 """Lexical (BM25), dense (cosine) and fused search, for many queries in one job.
 
-Postings are (term, id, tf) rows; a query's terms are joined to them, so only documents with a term
-are scored, and ids are ranked before any text is fetched. Scores are rounded before ranking and ties
+Postings are (term, id, tf, dl) rows, counted within each text's own array; a query's terms are joined to
+them, so only documents with a term are scored, filters come before ranks, and ids are ranked before any
+text is fetched. Scores are rounded before ranking and ties
 go to the smaller id, so results don't depend on partitioning.
 """
 
@@ -14,15 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..plans.physical import join_small, materialize
+from ..plans.physical import BROADCAST_ROWS, join_small, materialize, skew_join
 
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (term, id, tf), ``lengths`` (id, dl), ``terms`` (term, df), ``n``, ``avgdl``."""
+    """``postings`` (term, id, tf, dl), ``terms`` (term, df), ``n``, ``avgdl``."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
@@ -33,7 +33,12 @@ def tokenized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return tokenized(docs, doc_id, text).select("id", F.explode("ts").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, id, tf, dl). Terms are counted as runs of the sorted array, so nothing is shuffled."""
+    rows = tokenized(docs, doc_id, text).select("id", F.array_sort("ts").alias("s"), F.size("ts").alias("dl")).filter("dl > 0")
+    ends = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == F.col("dl") - 1) | (F.get("s", i) != F.get("s", i + 1)))
+    rows = rows.withColumn("ends", ends)
+    run = F.transform("ends", lambda e, k: F.struct(F.get("s", e).alias("term"), (e - F.when(k == 0, -1).otherwise(F.get("ends", k - 1))).cast("bigint").alias("tf")))
+    return rows.select("id", "dl", F.explode(run).alias("p")).select("p.term", "id", "p.tf", "dl")
 
 
 def document_frequency(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -48,11 +53,12 @@ def corpus_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, doc_id: str, text: str) -> LexicalIndex:
-    """Index tables in the shared folder; one pass over the texts."""
+    """Index tables in the shared folder; one pass over the texts (the count of rows reads no text)."""
     rows = materialize(postings(docs, doc_id, text))
-    lengths = materialize(tokenized(docs, doc_id, text).select("id", F.size("ts").alias("dl")))
-    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return LexicalIndex(rows, lengths, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), max(1, n), avgdl or 1.0)
+    n = max(1, docs.count())
+    total = rows.agg(F.sum("tf")).first()[0] or 0
+    terms = materialize(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return LexicalIndex(rows, terms, n, total / n or 1.0)
 
 
 def idf(n: int, df: Column) -> Column:
@@ -65,15 +71,28 @@ def ranked(scored: DataFrame, limit: int, by: str = "score", pool: tuple[str, ..
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, limit: int = P.CANDIDATES, k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
-    """(query_id, id, score, rank); ``queries`` has query_id and question."""
-    asked = materialize(queries.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term")))
-    known = join_small(index.postings, asked, ["term"], "inner")
-    with_df = join_small(known, materialize(join_small(index.terms, asked.select("term").distinct(), ["term"], "left_semi")), ["term"], "inner")
-    at = with_df.join(index.lengths, "id")
+def bm25(index: LexicalIndex, queries: DataFrame, limit: int = P.CANDIDATES, k1: float = P.BM25_K1, b: float = P.BM25_B, categories: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank); ``queries`` has query_id and question. With ``categories`` (id,
+    category) only documents of a query's own ``category`` are ranked (all of them where it is null).
+    Terms that make up a large part of the postings are joined apart from the rest."""
+    asked = queries.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
+    asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))  # one row a term
+    wanted = materialize(asked.join(index.terms, "term"))
+    if (wanted.agg(F.sum(F.size("queries"))).first()[0] or 0) <= BROADCAST_ROWS:
+        known = index.postings.join(F.broadcast(wanted), "term")
+    else:
+        known = skew_join(index.postings, wanted, "term", "df", index.postings.count())
     tf, dl = F.col("tf"), F.col("dl")
     part = idf(index.n, F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / index.avgdl))
-    return ranked(at.groupBy("query_id", "id").agg(F.sum(part).alias("score")), limit)
+    scored = known.select("id", F.explode("queries").alias("query_id"), part.alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    return ranked(scored if categories is None else in_category(scored, queries, categories), limit)
+
+
+def in_category(scored: DataFrame, queries: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows whose document is of the query's category."""
+    of_query = queries.select("query_id", F.col("category").alias("wanted"))
+    rows = scored.join(categories.select("id", "category"), "id").join(of_query, "query_id")
+    return rows.filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("category"))).drop("wanted", "category")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,16 +104,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, limit: int = P.CANDIDATES, query_rows: int = 2000) -> DataFrame:
-    """Exact cosine neighbours. ``vectors`` (id, vec), ``queries`` (query_id, qvec[, pool]). The query
-    set is stated and counted; it is broadcast in blocks of ``query_rows`` against all vectors."""
-    q = materialize(queries.withColumn("_norm", F.sqrt(dot(F.col("qvec"), F.col("qvec")))).withColumn("_block", F.lit(0)))
+    """Exact cosine neighbours. ``vectors`` (id, vec), ``queries`` (query_id, qvec). Where both have a
+    ``category``, it is compared before the cut; a null one of a query asks for all. The query set is
+    stated and counted; it is broadcast in blocks of ``query_rows`` against all vectors."""
+    filtered = "category" in queries.columns and "category" in vectors.columns
+    q = queries.select("query_id", "qvec", *([F.col("category").alias("_wanted")] if filtered else []))
+    q = materialize(q.withColumn("_norm", F.sqrt(dot(F.col("qvec"), F.col("qvec")))))
     n = q.count()
     blocks = max(1, -(-n // query_rows))
     out = None
     v = vectors.withColumn("_vnorm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+    match = F.col("_wanted").isNull() | (F.col("_wanted") == F.col("category")) if filtered else F.lit(True)
     for k in range(blocks):
         part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else q
-        pairs = v.join(F.broadcast(part), F.lit(True))
+        pairs = v.join(F.broadcast(part), match)
         scored = pairs.select("query_id", "id", (dot(F.col("vec"), F.col("qvec")) / (F.col("_vnorm") * F.col("_norm"))).alias("score"))
         got = ranked(scored.filter(F.col("score").isNotNull() & ~F.isnan("score")), limit)
         out = got if out is None else out.unionByName(got)
@@ -117,29 +140,29 @@ def hybrid(index: LexicalIndex, vectors: DataFrame, queries: DataFrame, categori
     before the cut, the lexical one after it (before, with ``lexical_prefilter``), and routing is left
     out. ``categories``: (id, category). Returns query_id, id, rank, fused, score (cosine, 0 for
     documents without one)."""
-    filtered = "category" in queries.columns
-    near = dense(vectors, queries.select("query_id", "qvec"), candidates)
-    lexical_limit = 2**31 - 1 if filtered and lexical_prefilter else candidates
-    words = bm25(index, queries, lexical_limit)
-    if filtered:
-        wanted = queries.select("query_id", F.col("category").alias("wanted"))
-        every = dense(vectors, queries.select("query_id", "qvec"), 2**31 - 1)
-        in_category = lambda d: d.join(categories, "id").join(wanted, "query_id").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("category")))
-        near = ranked(in_category(every).select("query_id", "id", "score"), candidates)
-        words = in_category(words).select("query_id", "id", "score", "rank")
-        if lexical_prefilter:
-            words = ranked(words.drop("rank"), candidates)
-        lists = [(near, 1.0), (words, 1.0)]
+    if "category" in queries.columns:
+        near = materialize(dense(vectors.join(categories.select("id", "category"), "id"), queries, candidates))  # used twice
+        words = bm25(index, queries, candidates, categories=categories if lexical_prefilter else None)
+        lists = [(near, 1.0), (words if lexical_prefilter else in_category(words, queries, categories), 1.0)]
     else:
+        near = materialize(dense(vectors, queries, candidates))
+        words = bm25(index, queries, candidates)
+        words = words if categories is None else materialize(words)
         lists = [(near, 1.0), (words, 1.0)]
         if categories is not None:
-            routed = queries.withColumn("route", F.explode(T.routed_categories(F.col("question"))))
+            routed = queries.withColumn("category", F.explode(T.routed_categories(F.col("question"))))
             pool = max(10, 2 * k)
-            own = vectors.join(categories, "id")
-            scored = own.join(F.broadcast(materialize(routed.select("query_id", "qvec", "route"))), F.col("category") == F.col("route"))
-            near_routed = ranked(scored.select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score")), pool)
-            words_routed = words.join(categories, "id").join(routed.select("query_id", "route"), "query_id").filter("category = route")
-            lists += [(near_routed, weight), (ranked(words_routed.select("query_id", "id", "score"), pool), weight)]
+            near_routed = dense(vectors.join(categories.select("id", "category"), "id"), routed, pool)
+            words_routed = in_category(words.join(routed.select("query_id"), "query_id", "left_semi"), routed, categories)
+            lists += [(near_routed, weight), (ranked(words_routed.drop("rank"), pool), weight)]
     fused = fuse(*lists)
     top = ranked(fused, k, "fused", digits=12)
     return top.join(near.select("query_id", "id", "score"), ["query_id", "id"], "left").select("query_id", "id", "rank", "fused", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def with_payload(hits: DataFrame, docs: DataFrame, doc_id: str = "id") -> DataFrame:
+    """Hits (query_id, id, ...) with the columns of their documents, fetched after the cut: hits are few, so
+    they are counted and broadcast to the documents. Hits without a document are left out."""
+    own = [c for c in docs.columns if c != doc_id and c not in hits.columns]
+    found = materialize(hits)
+    return join_small(docs.select(F.col(doc_id).alias("id"), *own), found, ["id"], "inner").select(*hits.columns, *own)
