@@ -25,9 +25,12 @@ _private: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder on storage that every executor can read: below ``spark.checkpoint.dir``, or
-    where that is unset (local tests) below a private folder made once."""
+    where that is unset (local tests) below a private folder made once. A cluster must set it: a folder
+    of one machine would be read in part or not at all."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _private:
             _private.append("file://" + tempfile.mkdtemp(prefix="loomwork-"))
         base = _private[0]

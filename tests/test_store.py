@@ -28,6 +28,28 @@ def test_upsert_twice_is_once(spark, tmp_path):
     assert store.count() == 1
 
 
+def test_open_readers_keep_their_version(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/r", buckets=8)
+    store.upsert(spark.createDataFrame([(f"k{i}", 0) for i in range(40)], "id string, n int"))
+    before, places = store.read(), store._manifest()["buckets"]
+    store.upsert(spark.createDataFrame([("k1", 1)], "id string, n int"))
+    assert before.agg(F.sum("n")).first()[0] == 0 and store.read().agg(F.sum("n")).first()[0] == 1
+    after = store._manifest()["buckets"]
+    assert sum(places[b] != after[b] for b in places) == 1  # one bucket was written anew
+    assert store.get(spark.createDataFrame([("k1",), ("none",)], "id string")).collect()[0].n == 1
+    old = store._manifest()
+    store.upsert(spark.createDataFrame([("k2", 1)], "id string, n int"))
+    try:  # a writer that started from an older version loses nothing silently
+        store._commit(spark.createDataFrame([("k3", 1)], "id string, n int"), [0], old)
+        raise AssertionError("the second writer must fail")
+    except RuntimeError:
+        pass
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and rows(store.read())[:2] == [("k0", 0), ("k1", 1)] and store.count() == 40
+    store.delete(store.read().select("id"))
+    assert store.count() == 0
+
+
 def test_stream_upserts(spark, tmp_path):
     store = ChunkStore(spark, f"file://{tmp_path}/s")
     spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int").write.parquet(f"{tmp_path}/in")
