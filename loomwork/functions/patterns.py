@@ -9,6 +9,8 @@ CONTENT_TOKEN = r"[a-z][a-z0-9\-']+"
 TARGET_TOKENS, OVERLAP_TOKENS, TABLE_TOKENS, CONTEXT_TOKENS = 512, 64, 1800, 2048
 CANDIDATES, RRF_K, ROUTED_WEIGHT, TOP_K = 60, 60, 2.5, 5
 BM25_K1, BM25_B = 1.5, 0.75
+RERANK_POOL, RERANK_KEEP = 20, 12
+UNREACHABLE = 5
 MIN_PAGE_WORDS, MIN_DOCUMENT_WORDS = 10, 200
 PROMPT_BUDGET, CHUNK_OVERHEAD, MAX_PER_SOURCE = 6000, 40, 3
 RELEVANCE_FLOOR, SUPPORT_GATE, SUPPORT_WORDS = 0.50, 0.30, 12
@@ -33,6 +35,7 @@ HEADER_LINE = r"(?i)^[\s\-*#>`]*\**\s*(ANSWERED|SOURCES_USED)\s*:?\**\s*(.*?)\s*
 SEPARATOR_LINE = r"^[\s*]*-{2,}[\s*]*$"
 PERIOD_WORDS = ("semester", "annual", "per year")
 PERIOD_MARKERS = ("per semester", "semester fee", "annual", "per year", "each semester")
+PERIODIC_FIGURE = r"\d{2,3},\d{3}"
 # Words too common to tell where an answer came from.
 STOPWORDS = tuple(
     """the a an and or of to in for on with is are was were be been by as at from that this these those it its he she

@@ -19,6 +19,27 @@ def reject_reasons(pages: DataFrame, url: str = "url", text: str = "text", doc_t
     return pages.withColumn("n_words", n).withColumn("reject_reason", F.when(T.is_junk_url(F.col(url)), "theme demo").when(n < least, "too thin"))
 
 
+def html_only(responses: DataFrame, content_type: str = "content_type") -> DataFrame:
+    """Responses that are pages; a missing content type isn't one."""
+    return responses.filter(F.contains(F.lower(F.col(content_type)), F.lit("text/html")))
+
+
+def union_in_order(lists: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value) over several lists (key, value, pos): a key that is in more than one belongs to the
+    first list that has it, at its first place there."""
+    rows = None
+    for k, part in enumerate(lists):
+        part = part.select(key, F.struct(F.lit(k).alias("list"), "pos").alias("_at"), value)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, "_at").alias(value))
+
+
+def table_totals(pages: DataFrame, text: str = "text") -> DataFrame:
+    """One row: lines of tables, and pages that have any."""
+    n = T.table_lines(F.col(text))
+    return pages.agg(F.coalesce(F.sum(n), F.lit(0)).alias("table_rows"), F.count_if(n > 0).alias("pages_with_tables"))
+
+
 def page_lines(pages: DataFrame, page: str, text: str) -> DataFrame:
     """(page, line) of the trimmed non-blank lines, repeats included."""
     edge = f"^{P.SPACE}+|{P.SPACE}+$"
@@ -75,6 +96,8 @@ def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with ``allowed`` by the longest matching path prefix of ``rules`` (prefix, allow), a
     small table of one host's rules; without a match a URL is allowed. Prefix lengths are folded into
     one array expression, so no join multiplies rows."""
+    if rules.limit(10_001).count() > 10_000:
+        raise ValueError("rules of one host are expected, at most 10,000")
     table = rules.select(F.struct(F.length("prefix").alias("n"), F.col("allow").cast("int").alias("a"), "prefix").alias("r")).agg(F.sort_array(F.collect_list("r"), asc=False).alias("rs"))
     path = F.when(T.url_path(F.col(url)) == "", "/").otherwise(T.url_path(F.col(url)))
     rows = urls.join(F.broadcast(table), F.lit(True))  # one row

@@ -152,8 +152,9 @@ def decide_mode(n_hits: Column, top: Column, answered: Column, body: Column, sup
     return F.when(shown & (supported >= P.SUPPORT_GATE) & (unsupported == 0), "GROUNDED").when(kind == "GENERIC", "GENERAL").otherwise("REFUSE")
 
 
-def contract_failures(mode: Column, expected: Column, text: Column, citations: Column, retrieved: Column, flag: str, site: str, contacts: tuple[str, ...]) -> Column:
-    """What an answer breaks of its mode's contract, as a list of messages."""
+def contract_failures(mode: Column, expected: Column, text: Column, citations: Column, retrieved: Column, flag: str, site: str, contacts: tuple[str, ...], bare_figure: Column | None = None) -> Column:
+    """What an answer breaks of its mode's contract, as a list of messages. ``bare_figure``: a grounded
+    answer's figure that lacks its period (``figure_without_period``), if it has one."""
     low = F.lower(F.coalesce(text, F.lit("")))
     none = F.lit(None).cast("string")
     when = lambda cond, message: F.when(cond, message).otherwise(none)
@@ -168,6 +169,7 @@ def contract_failures(mode: Column, expected: Column, text: Column, citations: C
         when((mode == "GENERAL") & F.contains(low, F.lit(site)), "GENERAL text references the site"),
         when((mode == "REFUSE") & ~some, "REFUSE without pointing anywhere to ask"),
         when((mode == "REFUSE") & (F.size(citations) > 0), "REFUSE carrying citations"),
+        none if bare_figure is None else when((mode == "GROUNDED") & bare_figure.isNotNull(), F.concat(F.lit("periodic figure "), bare_figure, F.lit(" quoted without its period"))),
         when(mode != expected, F.concat(F.lit("mode "), mode, F.lit(", expected "), expected)),
     )
     return F.concat(F.array_compact(checks), F.when(mode == "GROUNDED", foreign).otherwise(F.array().cast("array<string>")))
@@ -196,6 +198,18 @@ def is_periodic(figure: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([periodic(f, t) for f, t in zip(figure, texts)])
 
 
+@F.pandas_udf(S.StringType())
+def figure_without_period(body: pd.Series, texts: pd.Series) -> pd.Series:
+    """The first figure of an answer that its evidence gives for a period, where the answer names none."""
+
+    def first(text: str | None, evidence) -> str | None:
+        if not text or any(m in text.lower() for m in P.PERIOD_MARKERS):
+            return None
+        return next((f for f in re.findall(P.PERIODIC_FIGURE, text) if periodic(f, evidence)), None)
+
+    return pd.Series([first(b, t) for b, t in zip(body, texts)], dtype=object)
+
+
 def prompt_sources(evidence: Column, notes: Column) -> Column:
     """The numbered sources of a prompt: address, currency note, text."""
     part = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(h["source_url"], F.lit("")), F.lit("\nCURRENCY: "), F.get(notes, i), F.lit("\n"), F.coalesce(h["text"], F.lit("")))

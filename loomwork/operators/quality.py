@@ -47,6 +47,22 @@ def refusal_runs(attempts: DataFrame, stream: str, order: str, status: str, most
     return rows.withColumn("stop", stop).drop("_island")
 
 
+def unreachable(attempts: DataFrame, stream: str, order: str, failed: str, most: int = P.UNREACHABLE) -> DataFrame:
+    """(stream, restart_at, stop_at): every ``most`` failures in a row ask for a restart, which starts the
+    count anew; the second such point is where the stream stops."""
+    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = attempts.withColumn("_island", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w))
+    inside = Window.partitionBy(stream, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum(F.col(failed).cast("int")).over(inside)).filter(F.col(failed) & (F.col("_run") % most == 0))
+    points = rows.withColumn("_k", F.row_number().over(Window.partitionBy(stream).orderBy(order))).filter("_k <= 2")
+    return points.groupBy(stream).agg(F.min(order).alias("restart_at"), F.max(F.when(F.col("_k") == 2, F.col(order))).alias("stop_at"))
+
+
+def count_in_range(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """One row: n, and whether it is within the range."""
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("in_range", F.col("n").between(least, most))
+
+
 def first_stop(rows: DataFrame, stream: str, order: str) -> DataFrame:
     """Where each stream stops, if it does."""
     return rows.filter("stop").groupBy(stream).agg(F.min(order).alias("stop_at"))

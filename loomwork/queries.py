@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .functions import text as T
-from .operators import audio, chunking, conversation, corpus, guards, quality, ranking, search
+from .functions import html as H
+from .operators import answering, audio, chunking, conversation, corpus, guards, quality, ranking, search
 
 YEAR = 2026
 _W = P.NOT_SPACE + "+"
@@ -75,17 +76,14 @@ def largest_tables(s, d):
     return t(s, d, "corpus_text").select("row_id", T.table_lines(F.col("text")).alias("n_rows")).filter("n_rows > 0").orderBy(F.desc("n_rows"), "row_id").limit(20)
 
 
-_FIG = "regexp_extract_all(text, '(?:^|[^0-9A-Za-z_.,])((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,}))', 1)"
-
-
 @query()
 def figures(s, d):
     return t(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(T.figures(F.col("text"))).alias("n_figures"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_À-ž])(?:Dr|Prof|Professor|Mr|Ms|Mrs|Engr)\\.?\\s+([A-Z][A-Za-z.\\-'']+(?:\\s+[A-Z][A-Za-z.\\-'']+){0,3})', 1))::INT AS n_names FROM documents WHERE text IS NOT NULL AND lang = 'en'")
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_À-ž])(?:Dr|Prof|Professor|Mr|Ms|Mrs|Engr)\\.?\\s+([A-Z][A-Za-z.\\-'']+(?:\\s+[A-Z][A-Za-z.\\-'']+){0,3})', 1))::INT AS n_names FROM documents WHERE text IS NOT NULL")
 def titled_names(s, d):
-    return t(s, d, "documents").filter("text IS NOT NULL AND lang = 'en'").select("doc_id", F.size(T.titled_names(F.col("text"))).alias("n_names"))
+    return t(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(T.titled_names(F.col("text"))).alias("n_names"))
 
 
 # -- URLs --------------------------------------------------------------------------------------
@@ -124,6 +122,42 @@ def junk_urls(s, d):
     return t(s, d, "manifest").filter(T.is_junk_url(F.col("url"))).select("row_id", "url")
 
 
+@query("SELECT row_id FROM manifest WHERE coalesce(doc_type, 'html') = 'html'")
+def html_responses(s, d):
+    """Entries with the content type that their kind of document is served with."""
+    kind = F.when(F.coalesce("doc_type", F.lit("html")) == "html", "Text/HTML; charset=utf-8").otherwise("application/pdf")
+    return corpus.html_only(t(s, d, "manifest").withColumn("content_type", kind)).select("row_id")
+
+
+@query("""WITH c AS (SELECT url, category, row_id, CASE category WHEN 'pages' THEN 0 WHEN 'departments' THEN 1 ELSE 2 END AS k FROM manifest WHERE category IN ('pages', 'departments', 'courses'))
+SELECT url, arg_min(category, k * 1000000000 + row_id) AS category FROM c WHERE url IS NOT NULL GROUP BY url""")
+def sitemap_union(s, d):
+    """Three lists of one crawl in their order."""
+    m = t(s, d, "manifest").select("url", "category", F.col("row_id").alias("pos"))
+    return corpus.union_in_order([m.filter(F.col("category") == c) for c in ("pages", "departments", "courses")], "url", "category")
+
+
+@query(f"""SELECT sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^{_SP}*[|]'))))::BIGINT AS table_rows,
+  sum((len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^{_SP}*[|]'))) > 0)::INT)::BIGINT AS pages_with_tables FROM corpus_text""")
+def table_totals(s, d):
+    return corpus.table_totals(t(s, d, "corpus_text"))
+
+
+@query("""SELECT row_id, 'Page ' || row_id AS title, 'Page ' || row_id || chr(10) || 'In ' || coalesce(category, 'none') || ' & more' || chr(10) || '| Words | Kind |' || chr(10) || '|---|---|' || chr(10) || '| ' || coalesce(word_count::VARCHAR, '-') || ' | ' || coalesce(doc_type, 'html') || ' |' AS text,
+  'https://h.example/a/' || row_id || ' https://h.example/x' AS links FROM manifest""")
+def html_pages(s, d):
+    """Each entry as a page with furniture, a table, unclosed tags and links."""
+    c = F.concat
+    n = F.col("row_id").cast("string")
+    page = c(
+        F.lit("<html><head><title> Page "), n, F.lit("</title><style>p {}</style></head><body><nav>Menu</nav><h1>Page "), n, F.lit("</h1><p>In "), F.coalesce("category", F.lit("none")), F.lit(" &amp; more<p>"),
+        F.lit("<table><tr><th>Words<th>Kind</tr><tr><td>"), F.coalesce(F.col("word_count").cast("string"), F.lit("-")), F.lit("</td><td>"), F.coalesce("doc_type", F.lit("html")), F.lit("</td></tr><tr></tr></table>"),
+        F.lit("<a href='"), n, F.lit("#top'></a><a href='/x'></a><a href='https://other.example/'></a><footer>End</footer><script>var a = '</p>'</script></body></html>"),
+    )
+    got = t(s, d, "manifest").select("row_id", H.html_to_text_udf()(page).alias("h"))
+    return got.select("row_id", "h.title", "h.text", F.array_join(H.same_host_links(F.lit("https://h.example/a/b"), F.col("h.links")), " ").alias("links"))
+
+
 @query("SELECT category, count(*) AS n FROM manifest WHERE regexp_matches(split_part(url, '?', 1), '(?i)\\.(pdf|doc|docx|xlsx)$') GROUP BY category")
 def document_links(s, d):
     return t(s, d, "manifest").filter(T.is_document_link(F.col("url"))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
@@ -163,17 +197,21 @@ def question_intents(s, d):
 _CHALLENGE = P.SOURCE_CHALLENGE.replace("'", "''")
 
 
-@query(f"SELECT doc_id, regexp_matches(trim(text), '{_CHALLENGE}') AS challenge FROM documents WHERE text IS NOT NULL AND lang = 'en'")
+@query(f"SELECT doc_id, regexp_matches(trim(text), '{_CHALLENGE}') AS challenge FROM documents WHERE text IS NOT NULL")
 def source_challenges(s, d):
-    return t(s, d, "documents").filter("text IS NOT NULL AND lang = 'en'").select("doc_id", T.is_source_challenge(F.col("text")).alias("challenge"))
+    return t(s, d, "documents").filter("text IS NOT NULL").select("doc_id", T.is_source_challenge(F.col("text")).alias("challenge"))
+
+
+_REPLY = "CASE row_id % 5 WHEN 0 THEN '\"' || title || '\"' WHEN 1 THEN '' WHEN 2 THEN title || chr(10) || 'More.' WHEN 3 THEN repeat('long ', 80) END"
 
 
-@query("""WITH r(i, reply, question) AS (VALUES (1, '"What is the fee?"', 'fee?'), (2, '', 'and that?'), (3, 'One.' || chr(10) || 'Two.', 'x'), (4, repeat('long ', 80), 'short'), (5, NULL, 'none')),
-b AS (SELECT i, question, regexp_replace(trim(reply), '^"+|"+$', '', 'g') AS b FROM r)
-SELECT i, CASE WHEN coalesce(length(b), 0) BETWEEN 1 AND 300 THEN trim(split_part(b, chr(10), 1)) ELSE question END AS search_query FROM b""")
+@query(f"""WITH b AS (SELECT row_id, slug, regexp_replace(trim(reply), '^"+|"+$', '', 'g') AS b FROM (SELECT row_id, slug, {_REPLY} AS reply FROM manifest))
+SELECT row_id, CASE WHEN coalesce(length(b), 0) BETWEEN 1 AND 300 THEN trim(split_part(b, chr(10), 1)) ELSE slug END AS search_query FROM b""")
 def condensed_questions(s, d):
-    rows = [(1, '"What is the fee?"', "fee?"), (2, "", "and that?"), (3, "One.\nTwo.", "x"), (4, "long " * 80, "short"), (5, None, "none")]
-    return s.createDataFrame(rows, "i int, reply string, question string").select("i", T.clean_rewrite(F.col("reply"), F.col("question")).alias("search_query"))
+    """Titles as rewritten questions: quoted, empty, of two lines, too long, or none at all."""
+    k = F.col("row_id") % 5
+    reply = F.when(k == 0, F.concat(F.lit('"'), "title", F.lit('"'))).when(k == 1, "").when(k == 2, F.concat("title", F.lit("\nMore."))).when(k == 3, "long " * 80)
+    return t(s, d, "manifest").select("row_id", T.clean_rewrite(reply, F.col("slug")).alias("search_query"))
 
 
 # -- corpus ------------------------------------------------------------------------------------
@@ -461,15 +499,52 @@ def prefer_recent(s, d):
     return ranking.prefer_recent(_hits(s, d)).select("query_id", "id", "pos")
 
 
-@query("""WITH h(query_id, pos, id) AS (VALUES (1,1,'a'),(1,2,'b'),(1,3,'c'),(1,4,'d'),(2,1,'e'),(2,2,'f'),(3,1,'g'),(4,1,'h'),(4,2,'i')),
-r(query_id, reply) AS (VALUES (1, '3, 1, 3, 9'), (2, 'no idea'), (3, '1'), (4, '[2] then [1]')),
-n AS (SELECT query_id, unnest(regexp_extract_all(reply, '[0-9]+')) AS x, unnest(range(len(regexp_extract_all(reply, '[0-9]+')))) AS place FROM r),
-f AS (SELECT query_id, x::INT AS pos, min(place) AS place FROM n GROUP BY 1, 2)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 1000), h.pos)::INT AS pos FROM h LEFT JOIN f USING (query_id, pos)""")
+_REPLIES = "replies AS (SELECT query_id, CASE count(*) % 4 WHEN 0 THEN '3, 1, 3, ' || (count(*) + 1) WHEN 1 THEN 'no idea' WHEN 2 THEN '[2] then [1]' ELSE count(*) || ', 2' END AS reply, count(*) AS n FROM hits GROUP BY query_id)"
+_PERMUTED = """n AS (SELECT query_id, unnest(regexp_extract_all(reply, '[0-9]+')) AS x, unnest(range(len(regexp_extract_all(reply, '[0-9]+')))) AS place FROM replies),
+f AS (SELECT query_id, x::BIGINT AS pos, min(place) AS place FROM n GROUP BY 1, 2)"""
+
+
+def _replies(hits):
+    n = F.count(F.lit(1))
+    text = F.when(n % 4 == 0, F.concat(F.lit("3, 1, 3, "), (n + 1).cast("string"))).when(n % 4 == 1, "no idea").when(n % 4 == 2, "[2] then [1]").otherwise(F.concat(n.cast("string"), F.lit(", 2")))
+    return hits.groupBy("query_id").agg(text.alias("reply"))
+
+
+@query(f"""WITH {_HITS}, {_REPLIES}, {_PERMUTED}
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 1 THEN coalesce(place, 1000000) ELSE 1000000 END, h.pos)::INT AS pos FROM hits h JOIN replies USING (query_id) LEFT JOIN f USING (query_id, pos)""")
 def rerank_permute(s, d):
-    hits = s.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (2, 1, "e"), (2, 2, "f"), (3, 1, "g"), (4, 1, "h"), (4, 2, "i")], "query_id int, pos int, id string")
-    replies = s.createDataFrame([(1, "3, 1, 3, 9"), (2, "no idea"), (3, "1"), (4, "[2] then [1]")], "query_id int, reply string")
-    return ranking.permute(hits, replies).select("query_id", "id", "pos")
+    """All lists of hits, each with a reply that fits its length, repeats a number, or names none."""
+    hits = _hits(s, d)
+    return ranking.permute(hits, _replies(hits)).select("query_id", "id", "pos")
+
+
+@query(f"""WITH {_HITS}, {_REPLIES}, {_PERMUTED},
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(source_url, '') ORDER BY pos) AS k FROM hits WHERE pos <= 20) WHERE k <= 3),
+kept AS (SELECT * FROM capped WHERE p <= 12), sizes AS (SELECT query_id, count(*) AS m FROM kept GROUP BY query_id),
+read AS (SELECT k.query_id, k.id, k.source_date, row_number() OVER (PARTITION BY k.query_id ORDER BY CASE WHEN m > 1 THEN coalesce(place, 1000000) ELSE 1000000 END, p) AS q FROM kept k JOIN sizes USING (query_id) LEFT JOIN f ON k.query_id = f.query_id AND k.p = f.pos),
+five AS (SELECT * FROM read WHERE q <= 5)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id LIKE 'courses%' OR coalesce(source_date, '') = '' THEN 0 ELSE 1 END,
+  CASE WHEN query_id LIKE 'courses%' OR coalesce(source_date, '') = '' THEN 0 ELSE coalesce(-try_cast(source_date AS INT), 0) END, q)::INT AS pos FROM five""")
+def evidence_to_read(s, d):
+    """Pool, cap per source, reply's order, cut, and recent sources first but for courses."""
+    hits = _hits(s, d)
+    dated = hits.select("query_id").filter("query_id NOT LIKE 'courses%'").distinct()
+    return answering.read_first(hits, _replies(hits), dated).select("query_id", "id", "pos")
+
+
+@query("""WITH p AS (SELECT user_id AS query_id, value AS score FROM events WHERE event_type = 'view') SELECT user_id AS query_id, coalesce(max(score), 0) AS top FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN p ON user_id = query_id GROUP BY 1""")
+def top_scores(s, d):
+    e = t(s, d, "events")
+    return answering.top_scores(e.filter("event_type = 'view'").select(F.col("user_id").alias("query_id"), F.col("value").alias("score")), e.select(F.col("user_id").alias("query_id")))
+
+
+@query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0),
+r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+SELECT query_id, id, rank::INT AS rank, source, lang, source_url FROM r JOIN documents ON id = doc_id WHERE rank <= 5""")
+def hit_payloads(s, d):
+    e = t(s, d, "embeddings")
+    hits = search.dense(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 5)
+    return search.with_payload(hits.select("query_id", "id", "rank"), t(s, d, "documents").select("doc_id", "source", "lang", "source_url"), "doc_id")
 
 
 # -- guards ------------------------------------------------------------------------------------
@@ -512,10 +587,12 @@ def ended_terms(s, d):
 
 
 @query(f"""SELECT id, concat_ws('; ', CASE WHEN coalesce(source_date, '') <> '' THEN 'published ' || source_date ELSE 'live website page, no publication date, kept up to date' END,
-  CASE WHEN coalesce(source_date, '') <> '' AND try_cast(source_date AS INT) < {YEAR} THEN ({YEAR} - try_cast(source_date AS INT)) || ' year(s) old — may be superseded' END) AS note FROM chunks""")
+  CASE WHEN coalesce(source_date, '') <> '' AND try_cast(source_date AS INT) < {YEAR} THEN ({YEAR} - try_cast(source_date AS INT)) || ' year(s) old — may be superseded' END,
+  CASE WHEN chunk_index % 3 = 0 THEN 'WARNING: mentions a role with an ENDED term (2001-2004, 2010-2012) — that person is a FORMER holder, not the current one' END) AS note FROM chunks""")
 def source_notes(s, d):
-    none = F.array().cast("array<string>")
-    return t(s, d, "chunks").select("id", guards.source_note(F.col("source_date"), none, YEAR).alias("note"))
+    """Every third chunk of a document is taken to name two ended terms."""
+    ended = guards.ended_terms(F.when(F.col("chunk_index") % 3 == 0, "Dean 2001-2004; head of section from 2010 to 2012"), F.lit(YEAR))
+    return t(s, d, "chunks").select("id", guards.source_note(F.col("source_date"), ended, YEAR).alias("note"))
 
 
 @query(f"""WITH y AS (SELECT source_url, list_reverse_sort(list_distinct(list(source_date) FILTER (coalesce(source_date, '') <> ''))) AS ys FROM chunks GROUP BY source_url)
@@ -525,32 +602,65 @@ def provenance_lines(s, d):
     return years.select("source_url", guards.provenance(F.col("ys"), F.lit("nothing dated"), YEAR).alias("line"))
 
 
-@query()
+@query("""WITH r AS (SELECT id, source_url, 'About ' || id || '.' AS said, (chunk_index % 6)::INT AS k FROM chunks)
+SELECT id, k <> 1 AS answered, CASE k WHEN 0 THEN 'u2 ' || source_url WHEN 1 THEN '' WHEN 3 THEN 'u2' ELSE source_url || ' u2' END AS cites,
+  CASE k WHEN 4 THEN '' WHEN 5 THEN 'Sure!' || chr(10) || said ELSE said END AS body FROM r""")
 def parsed_replies(s, d):
-    rows = [(1, "ANSWERED: yes\nSOURCES_USED: 2, 1\n---\nIt is so."), (2, "**ANSWERED:** NO\n---\nNot found."), (3, "plain text"), (4, "Sure!\n- ANSWERED: yes\n- SOURCES_USED: 9\n\nBody\nANSWERED: yes"), (5, "ANSWERED: yes"), (6, None)]
-    df = s.createDataFrame(rows, "i int, raw string").withColumn("urls", F.array(F.lit("u1"), F.lit("u2"), F.lit("u1")))
-    return df.select("i", guards.parse_structured("raw", "urls").alias("r")).select("i", "r.answered", "r.citations", "r.body")
-
-
-_MODES = [(1, 3, 0.8, True, "x", 0.9, 0, "SPECIFIC"), (2, 3, 0.8, True, "x", 0.1, 0, "SPECIFIC"), (3, 3, 0.8, True, "x", 0.9, 2, "GENERIC"), (4, 0, 0.0, True, "x", 1.0, 0, "GENERIC"), (5, 3, 0.4, True, "x", 1.0, 0, "SPECIFIC"), (6, 3, 0.9, True, " ", 1.0, 0, "SPECIFIC"), (7, 3, 0.5, False, "x", 1.0, 0, "GENERIC")]
-
-
-@query("WITH r(i, n, top, answered, body, sup, bad, kind) AS (VALUES " + ", ".join(f"({i}, {n}, {top}, {a}, '{b}', {su}, {bad}, '{k}')" for i, n, top, a, b, su, bad, k in _MODES) + """)
-SELECT i, CASE WHEN n > 0 AND top >= 0.5 AND answered AND trim(body) <> '' AND sup >= 0.3 AND bad = 0 THEN 'GROUNDED' WHEN kind = 'GENERIC' THEN 'GENERAL' ELSE 'REFUSE' END AS mode FROM r""")
-def mode_decisions(s, d):
+    """A reply about each chunk: with a header, declined, without one, with numbers out of range, a header
+    only, and a header after a preamble."""
+    said, k = F.concat(F.lit("About "), "id", F.lit(".")), F.col("chunk_index") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit("ANSWERED: yes\nSOURCES_USED: 2, 1\n---\n"), said)).when(k == 1, F.concat(F.lit("**ANSWERED:** NO\n---\n"), said))
+        .when(k == 2, said).when(k == 3, F.concat(F.lit("- ANSWERED: yes\n- SOURCES_USED: 9, 2\n\n"), said, F.lit("\nANSWERED: yes")))
+        .when(k == 4, "ANSWERED: yes").otherwise(F.concat(F.lit("Sure!\n"), said))
+    )
+    df = t(s, d, "chunks").select("id", raw.alias("raw"), F.array("source_url", F.lit("u2"), "source_url").alias("urls"))
+    return df.select("id", guards.parse_structured("raw", "urls").alias("r")).select("id", "r.answered", F.array_join("r.citations", " ").alias("cites"), "r.body")
+
+
+_DECIDE = f"""raw AS (SELECT a.id, a.source_url, a.chunk_index % 7 AS k, length(a.text) AS n, b.id IS NOT NULL AS hit,
+  round(CASE WHEN b.id IS NULL OR len(list_distinct({_A})) < 12 THEN 1.0 ELSE len(list_intersect(list_distinct({_A}), list_distinct({_E}))) / len(list_distinct({_A})) END, 9) AS support
+  FROM chunks a LEFT JOIN chunks b ON regexp_extract(a.id, '^[^#]*') = regexp_extract(b.id, '^[^#]*') AND b.chunk_index = a.chunk_index + 1),
+r AS (SELECT *, (n % 100) / 100.0::DOUBLE AS top, n % 11 = 0 AS bad, CASE WHEN n % 2 = 0 THEN 'GENERIC' ELSE 'SPECIFIC' END AS kind,
+  CASE WHEN k = 1 THEN 'Not in the sources.' WHEN k IN (2, 3) THEN '' ELSE 'About ' || id || '.' END AS said FROM raw),
+y AS (SELECT *, k <> 1 AND said = '' AS again, CASE WHEN k = 2 THEN 'Second try.' WHEN k = 3 THEN '' ELSE said END AS body, k NOT IN (1, 3) AS answered FROM r),
+m AS (SELECT *, CASE WHEN hit AND top >= 0.5::DOUBLE AND answered AND support >= 0.3::DOUBLE AND NOT bad THEN 'GROUNDED' WHEN kind = 'GENERIC' THEN 'GENERAL' ELSE 'REFUSE' END AS mode FROM y),
+d AS (SELECT *, CASE mode WHEN 'GROUNDED' THEN body || CASE WHEN n % 3 = 0 THEN ' [dated]' ELSE '' END WHEN 'GENERAL' THEN '[general]' || chr(10) || chr(10) || 'In general.'
+  ELSE CASE WHEN hit AND top >= 0.5::DOUBLE AND NOT bad AND body <> '' THEN body ELSE 'Nothing found.' END || chr(10) || chr(10) || 'Ask the office.' END AS text,
+  CASE WHEN mode <> 'GROUNDED' THEN '' WHEN again THEN source_url || ' u2' ELSE 'u2' END AS cites FROM m)"""
+
+
+def _decisions(s, d):
+    """Each chunk as an answer with the next one of its document as evidence; replies decline, come empty
+    or need a second try, scores and classes of questions follow from lengths."""
+    c = t(s, d, "chunks").select("id", "chunk_index", "source_url", "text", F.substring_index("id", "#", 1).alias("doc"))
+    after = c.select("doc", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("text").alias("evidence"))
+    n, k = F.length("text"), F.col("chunk_index") % 7
+    said = F.when(k == 1, "Not in the sources.").when(k.isin(2, 3), "").otherwise(F.concat(F.lit("About "), "id", F.lit(".")))
+    reply = answering.second_try(k != 1, said, F.array(F.lit("u2")), F.when(k == 2, "Second try."), F.array("source_url", F.lit("u2"), F.lit("")))
+    rows = c.join(after, ["doc", "chunk_index"], "left").select("id", "source_url", F.when(F.col("evidence").isNotNull(), 1).otherwise(0).alias("n_hits"), ((n % 100) / 100.0).alias("top"), reply.alias("reply"), F.round(guards.support(F.col("text"), F.col("evidence")), 9).alias("support"), n.alias("n"))
     c = F.col
-    df = s.createDataFrame(_MODES, "i int, n int, top double, answered boolean, body string, sup double, bad int, kind string")
-    return df.select("i", guards.decide_mode(c("n"), c("top"), c("answered"), c("body"), c("sup"), c("bad"), c("kind")).alias("mode"))
+    shown = answering.decided(c("n_hits"), c("top"), c("reply"), c("support"), F.when(c("n") % 11 == 0, 1).otherwise(0), F.when(c("n") % 2 == 0, "GENERIC").otherwise("SPECIFIC"), F.lit("In general."), F.when(c("n") % 3 == 0, " [dated]"), "[general]", "Nothing found.", "Ask the office.")
+    return rows.select("id", "source_url", "n", shown.alias("a"))
 
 
-_ANSWERS = [(1, "GROUNDED", "GROUNDED", "It is 3.", ["u1"]), (2, "GROUNDED", "REFUSE", "It is 4.", ["u9"]), (3, "GROUNDED", "GROUNDED", "No source.", []), (4, "GENERAL", "GENERAL", "[general] Hello.", []), (5, "GENERAL", "GROUNDED", "See site.example.", ["u1"]), (6, "REFUSE", "REFUSE", "Ask the office.", []), (7, "REFUSE", "REFUSE", "No.", [])]
+@query(f"WITH {_DECIDE} SELECT id, mode, text, cites FROM d")
+def mode_decisions(s, d):
+    return _decisions(s, d).select("id", "a.mode", "a.text", F.array_join("a.citations", " ").alias("cites"))
 
 
-@query("""WITH f(i, n_failures) AS (VALUES (1, 0), (2, 2), (3, 1), (4, 0), (5, 4), (6, 0), (7, 1)) SELECT i::INT AS i, n_failures::INT AS n_failures FROM f""")
+@query(f"""WITH {_DECIDE}, x AS (SELECT *, CASE n % 4 WHEN 0 THEN 'GENERAL' WHEN 1 THEN 'GROUNDED' ELSE mode END AS expected FROM d)
+SELECT id, ((mode = 'GROUNDED' AND n % 5 <> 0 AND cites = '')::INT + (mode = 'GROUNDED' AND n % 5 = 0)::INT + (mode = 'GROUNDED' AND n % 5 <> 0)::INT
+  + (mode = 'GENERAL' AND n % 3 = 0)::INT + (mode = 'REFUSE' AND n % 3 = 0)::INT + (mode <> expected)::INT)::INT AS n_failures FROM x""")
 def contract_checks(s, d):
+    """Answers as decided, some spoilt: every third general one loses its flag and every third refusal its
+    contacts; every fifth grounded one loses its citations, the others' 'u2' was not retrieved."""
     c = F.col
-    df = s.createDataFrame(_ANSWERS, "i int, mode string, expected string, text string, cites array<string>").withColumn("got", F.array(F.lit("u1"), F.lit("u2")))
-    return df.select("i", F.size(guards.contract_failures(c("mode"), c("expected"), c("text"), c("cites"), c("got"), "[general]", "site.example", ("contact", "office"))).alias("n_failures"))
+    a = _decisions(s, d).select("id", "n", "source_url", "a.*")
+    text = F.when((c("n") % 3 == 0) & (c("mode") == "GENERAL"), "In general.").when((c("n") % 3 == 0) & (c("mode") == "REFUSE"), "No.").otherwise(c("text"))
+    links = F.when((c("n") % 5 == 0) & (c("mode") == "GROUNDED"), F.array().cast("array<string>")).otherwise(c("citations"))
+    expected = F.when(c("n") % 4 == 0, "GENERAL").when(c("n") % 4 == 1, "GROUNDED").otherwise(c("mode"))
+    return a.select("id", F.size(guards.contract_failures(c("mode"), expected, text, links, F.array("source_url"), "[general]", "site.example", ("contact", "office"))).alias("n_failures"))
 
 
 @query("""SELECT count(*) AS n, sum((event_type <> 'error')::INT)::BIGINT AS right_mode, sum((value > 50)::INT)::BIGINT AS broken_contracts, round(avg(value), 6) AS mean_latency, max(value) AS max_latency FROM events""")
@@ -595,6 +705,20 @@ def refusal_runs(s, d):
     return quality.refusal_runs(_attempts(s, d), "stream", "event_id", "status").select("event_id", "refusals", "stop")
 
 
+@query(f"""WITH {_ATT}, i AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY stream ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM att),
+r AS (SELECT *, sum(failed::INT) OVER (PARTITION BY stream, island ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM i),
+k AS (SELECT stream, event_id, row_number() OVER (PARTITION BY stream ORDER BY event_id) AS k FROM r WHERE failed AND run % 3 = 0)
+SELECT stream, min(event_id) AS restart_at, max(CASE WHEN k = 2 THEN event_id END) AS stop_at FROM k WHERE k <= 2 GROUP BY stream""")
+def unreachable_stops(s, d):
+    """With three failures in a row, which these events have."""
+    return quality.unreachable(_attempts(s, d), "stream", "event_id", "failed", 3)
+
+
+@query("SELECT count(*) AS n, count(*) BETWEEN 2500 AND 6000 AS in_range FROM chunks")
+def chunk_count(s, d):
+    return quality.count_in_range(t(s, d, "chunks"), 2500, 6000)
+
+
 @query("""SELECT id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong length' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 THEN 'not a number' ELSE 'all zero' END AS defect FROM chunk_vectors
   WHERE embedding IS NULL OR len(embedding) <> 64 OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0""")
 def vector_defects(s, d):

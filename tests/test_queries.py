@@ -11,7 +11,8 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_runs(spark, name):
-    assert Q.QUERIES[name](spark, DATA).count() >= 0
+    rows = Q.QUERIES[name](spark, DATA).collect()  # what they hold is tested in test_brute
+    assert name == "ended_terms" or rows and all(r[0] is not None for r in rows)
 
 
 def test_entry(spark):
