@@ -17,7 +17,8 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ from . import hnsw
 @dataclass(frozen=True)
 class Graphs:
     """``shard_rows``: most vectors of a shard; ``least_shards`` spreads smaller tables (of at least
-    ``small`` rows a shard); ``m``: neighbours a node chooses; ``ef_build``, ``ef``: beam widths."""
+    ``small`` rows a shard); ``m``: neighbours a node chooses; ``ef_build``, ``ef``: beam widths, all three
+    for shards of up to ``base_rows``. They grow by ``wider`` with each doubling beyond that, as a larger
+    graph loses recall at the same widths."""
 
     shard_rows: int = 100_000
     least_shards: int = 8
@@ -42,6 +45,17 @@ class Graphs:
     m: int = 12
     ef_build: int = 48
     ef: int = 28
+    base_rows: int = 10_000
+    wider: tuple[int, int, int] = (4, 16, 12)
+
+    def shards(self, n: int) -> int:
+        return max(1, -(-n // self.shard_rows), min(self.least_shards, n // self.small))
+
+    def fitted(self, n: int) -> Graphs:
+        """The widths for ``n`` vectors."""
+        k = max(0, math.ceil(math.log2(max(1, n) / self.shards(n) / self.base_rows)))
+        m, ef_build, ef = self.wider
+        return replace(self, m=self.m + k * m, ef_build=self.ef_build + k * ef_build, ef=self.ef + k * ef)
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -123,7 +137,7 @@ class Index:
 
 def build_index(rows: DataFrame, n: int, dim: int, conf: Graphs) -> Index:
     """Graphs over (id, others, vector) of ``rows``, about ``n``."""
-    shards = max(1, -(-n // conf.shard_rows), min(conf.least_shards, n // conf.small))
+    conf, shards = conf.fitted(n), conf.shards(n)
     path = shared_dir(rows.sparkSession)
     placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("id", F.lit(1)).alias("draw"), "id", "others", "vector")
     placed.repartitionById(shards, F.col("shard")).mapInArrow(_build(dim, conf), _INDEX).write.partitionBy("shard").parquet(path)

@@ -24,7 +24,9 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - set(entry.SQL)))
 def test_runs(spark, name):
-    assert entry.QUERIES[name](spark, DATA).count() >= 0
+    df = entry.QUERIES[name](spark, DATA)
+    got = df.collect()
+    assert got and all(r[0] is not None for r in got)
 
 
 # 1 -----------------------------------------------------------------------------------------------
@@ -149,6 +151,14 @@ def test_similar(spark):
     assert neighbours.similar(df.limit(0), "id", "embedding", 16, 10).count() == 0
 
 
+def test_widths_follow_the_size_of_shards():
+    g = neighbours.Graphs()
+    assert [g.fitted(n) == g for n in (0, 500, 79_000)] == [True] * 3
+    big = g.fitted(10**8)
+    assert g.shards(10**8) == 1000 and (big.m, big.ef_build, big.ef) == (28, 112, 76)
+    assert g.fitted(160_000).ef > g.ef
+
+
 def test_many_equal_vectors(spark):
     df = spark.range(900).select(F.format_string("x%04d", "id").alias("id"), F.when(F.col("id") % 3 == 0, F.array(*[F.lit(1.0)] * 4)).otherwise(F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(-1.0))).cast("array<float>").alias("v"))
     got = defaultdict(list)
