@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..plans.physical import materialize
 
 
 def _renumber(df: DataFrame, *order: Column) -> DataFrame:
@@ -70,14 +71,11 @@ def every_nth(rows: DataFrame, order: str, n: int) -> DataFrame:
     sorted ranges, so no single task sorts all rows."""
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), order).sortWithinPartitions(order)
-    placed = ranged.select(F.col(order).alias("_o")).withColumn("_p", F.spark_partition_id())
-    counts = [(r[0], r[1]) for r in placed.groupBy("_p").count().orderBy("_p").collect()]  # one row a partition
-    total = sum(c for _, c in counts)
-    step, base, start = max(1, total // n), {}, 0
-    for p, c in counts:
-        base[p] = start
-        start += c
+    placed = materialize(ranged.select(F.col(order).alias("_o")).withColumn("_p", F.spark_partition_id()))  # written, so that all uses see the same partitions
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    step = max(1, placed.count() // n)
     w = Window.partitionBy("_p").orderBy("_o")
-    offsets = F.create_map(*[F.lit(x) for pair in base.items() for x in pair]) if base else F.create_map()
-    chosen = placed.withColumn("_r", F.row_number().over(w) - 1 + F.coalesce(offsets[F.col("_p")], F.lit(0))).filter((F.col("_r") % step == 0) & (F.col("_r") < step * n))
+    chosen = placed.join(F.broadcast(offsets), "_p").withColumn("_r", F.row_number().over(w) - 1 + F.col("_before")).filter((F.col("_r") % step == 0) & (F.col("_r") < step * n))
     return rows.join(chosen.select(F.col("_o").alias(order)), order, "left_semi")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
+@contextmanager
+def scratch():
+    """Drops the tables that are written within it when it is left. Use it around queries of a long session,
+    once their results are written or collected."""
+    kept = _owned[:]
+    _owned.clear()
+    try:
+        yield
+    finally:
+        _remove_all()
+        _owned.extend(kept)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: each later use scans columns of
     that table instead of running the plan again, and a lost executor loses nothing."""

@@ -4,7 +4,7 @@ import wave
 from pyspark.sql import functions as F
 
 from loomwork.operators import audio, corpus, quality
-from loomwork.plans.physical import join_small, materialize, skew_join
+from loomwork.plans.physical import join_small, materialize, scratch, skew_join
 from loomwork.sources import readers
 from loomwork.sources.store import ChunkStore
 from loomwork.streaming.ingest import failure_rates, upsert_stream
@@ -28,6 +28,17 @@ def test_upsert_twice_is_once(spark, tmp_path):
     assert store.count() == 1
 
 
+def test_scratch_tables_go(spark):
+    import os
+
+    kept = materialize(spark.range(3))
+    with scratch():
+        table = materialize(spark.range(5))
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_open_readers_keep_their_version(spark, tmp_path):
     store = ChunkStore(spark, f"file://{tmp_path}/r", buckets=8)
     store.upsert(spark.createDataFrame([(f"k{i}", 0) for i in range(40)], "id string, n int"))
