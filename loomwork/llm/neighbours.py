@@ -7,7 +7,10 @@ block of vectors, search every shard one after the other and merge the shard res
 nothing is shuffled but the vectors on their way into the shards. Members of a class get the list
 of their class. All vectors are indexed and all are queries; shards bound memory, not results.
 
-``min_similarity`` leaves out weaker neighbours; as these rank last, no stronger one is lost.
+``min_similarity`` leaves out weaker neighbours; as these rank last, no stronger one is lost. Searching every
+shard for every vector is quadratic in the number of shards. From ``cells_from`` on the lists are therefore
+made without graphs: a strong floor tells in which cells of the space a neighbour can be, and only these are
+compared, all with all (``cells``). Below that neighbours may be anywhere, and all shards are searched.
 
 Defined results: vectors that are null, of another length, all zero or that hold a null, NaN or
 infinite element are left out, as are rows with a null id; ties go to the smaller id; among more
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..plans.physical import materialize, shared_dir, skew_join
 from . import hnsw
+from .cells import alike
 
 
 @dataclass(frozen=True)
@@ -199,7 +203,20 @@ def _search(index: Index, blocks: list[tuple[int, int, int]], k: int, floor: flo
     return run
 
 
-def similar(df: DataFrame, row_id: str, vector: str, dim: int, k: int = 10, min_similarity: float = -1.0, conf: Graphs = Graphs(), block: int = 16384) -> DataFrame:
+def _with_classes(lists: DataFrame, others: DataFrame | None, k: int) -> DataFrame:
+    """(id, others, found) as ``_search`` gives them, from (id, found) and (first, others) of the classes."""
+    if others is None:
+        return lists.select("id", F.lit(None).cast("array<string>").alias("others"), "found")
+    lists, others = materialize(lists), materialize(others)
+    hits = lists.select("id", F.explode("found").alias("hit")).select("id", F.col("hit.id").alias("first"), F.col("hit.similarity").alias("similarity"))
+    more = hits.join(others, "first").select("id", F.explode("others").alias("other"), "similarity")
+    every = hits.withColumnRenamed("first", "other").unionByName(more)
+    best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("id"))))
+    full = every.groupBy("id").agg(F.slice(best, 1, k + 1).alias("found")).select("id", F.transform("found", lambda x: F.struct(x["id"].alias("id"), (-x["s"]).alias("similarity"))).alias("found"))
+    return full.join(others.withColumnRenamed("first", "id"), "id", "full_outer").select("id", "others", F.coalesce("found", F.array().cast("array<struct<id:string,similarity:double>>")).alias("found"))
+
+
+def similar(df: DataFrame, row_id: str, vector: str, dim: int, k: int = 10, min_similarity: float = -1.0, conf: Graphs = Graphs(), block: int = 16384, cells_from: float = 0.9) -> DataFrame:
     """(id, rank, other, similarity) of the k most similar other vectors of every usable vector."""
     spark = df.sparkSession
     rows = df.filter(F.col(row_id).isNotNull() & usable(F.col(vector), dim)).select(F.col(row_id).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
@@ -208,7 +225,7 @@ def similar(df: DataFrame, row_id: str, vector: str, dim: int, k: int = 10, min_
     total = keys.count()
     many = materialize(keys.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).filter("members > 1"))
     equal = many.limit(1).count() > 0
-    indexed, n = rows.select("id", F.lit(None).cast("array<string>").alias("others"), "vector"), total
+    indexed, n, kept = rows.select("id", F.lit(None).cast("array<string>").alias("others"), "vector"), total, rows
     if equal:
         member = materialize(skew_join(keys, many.select("class", "members", "first"), "class", "members", total).select("id", "class", "first"))
         by = Window.partitionBy("class").orderBy("id")
@@ -217,12 +234,15 @@ def similar(df: DataFrame, row_id: str, vector: str, dim: int, k: int = 10, min_
         kept = rows.join(member.filter("id <> first").select("id"), "id", "left_anti")
         indexed = kept.join(others.withColumnRenamed("first", "id"), "id", "left").select("id", "others", "vector")
         n = total - member.filter("id <> first").count()
-    index = build_index(indexed, n, dim, conf)
-    cores = spark.sparkContext.defaultParallelism
-    step = max(1024, min(block, -(-n // (4 * cores))))
-    blocks = [(s, a, min(a + step, size)) for s, size in sorted(index.sizes.items()) for a in range(0, size, step)]
-    tasks = spark.range(0, len(blocks), 1, max(1, len(blocks)))
-    found = tasks.mapInPandas(_search(index, blocks, k, min_similarity), _FOUND)
+    if min_similarity >= cells_from:
+        found = _with_classes(alike(kept.select("id", "vector"), n, dim, k, min_similarity), others if equal else None, k)
+    else:
+        index = build_index(indexed, n, dim, conf)
+        cores = spark.sparkContext.defaultParallelism
+        step = max(1024, min(block, -(-n // (4 * cores))))
+        blocks = [(s, a, min(a + step, size)) for s, size in sorted(index.sizes.items()) for a in range(0, size, step)]
+        tasks = spark.range(0, len(blocks), 1, max(1, len(blocks)))
+        found = tasks.mapInPandas(_search(index, blocks, k, min_similarity), _FOUND)
     own = F.transform(F.col("others"), lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("similarity")))
     full = F.coalesce(F.concat(own, F.col("found")), F.col("found"))
     if not equal:

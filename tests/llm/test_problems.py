@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sqlcheck import DATA, compare
 
-from loomwork.llm import boilerplate, canonical, entry, hnsw, mixing, neighbours, packing, repeated, residue, spam, splitting, tokens
+from loomwork.llm import boilerplate, canonical, cells, entry, hnsw, mixing, neighbours, packing, repeated, residue, spam, splitting, tokens
 
 
 def rows(df):
@@ -169,6 +169,73 @@ def test_many_equal_vectors(spark):
     assert [o for o, s in got["x0000"]] == ["x0003", "x0006", "x0009", "x0012", "x0015"]
 
 
+def near_vectors(n, d=16, seed=1):
+    """Every third vector is near another, some of them exactly at the floor of 0.95 or just below."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, d))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(1, n, 3):
+        z = v[i] - v[i] @ v[i - 1] * v[i - 1]
+        s = (0.9495, 0.9505, 0.96, 0.99)[i % 4]
+        v[i] = s * v[i - 1] + (1 - s * s) ** 0.5 * z / np.linalg.norm(z)
+    return v.astype(np.float32)
+
+
+def alike_by_force(ids, v, k, floor):
+    v = v.astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = v @ v.T
+    np.fill_diagonal(s, -2)
+    return {a: [ids[j] for j in sorted(np.flatnonzero(s[i] >= floor), key=lambda j: (-round(s[i, j], 12), ids[j]))[:k]] for i, a in enumerate(ids) if s[i].max() >= floor}
+
+
+@pytest.mark.parametrize("crowd", [0, 600])
+def test_alike_in_blocks_of_shards(spark, crowd):
+    v = near_vectors(3000)
+    if crowd:  # a large part about one place, which is more than a shard may hold
+        v[:crowd] = v[0] + np.random.default_rng(2).normal(scale=0.02, size=(crowd, 16)).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id string, vector array<float>").repartition(3)
+    conf = cells.Cells(shard_rows=200, least_rows=300, cell_rows=16, pairs=1024, together=256, pack=64, least_round=200_000)
+    got = {r.id: [x.id for x in r.found] for r in cells.alike(df, len(v), 16, 5, 0.95, conf).collect()}
+    want = alike_by_force(ids, v, 5, 0.95)
+    hits, found = sum(map(len, want.values())), sum(len(set(want[i]) & set(got.get(i, ()))) for i in want)
+    assert found >= 0.995 * hits and hits > 1000 and all(len(x) <= 5 for x in got.values())
+    far = {i: x for i, x in got.items() if i not in want}
+    assert not far
+    if crowd:
+        assert all(got[i] == want[i] for i in ids[:crowd])
+
+
+def test_strong_floor_looks_at_few_cells(spark, monkeypatch):
+    """Before, each vector was searched for in every shard: work grew with the square of the table."""
+    monkeypatch.setattr(neighbours, "build_index", None)
+    v = near_vectors(2000)
+    v[1000:1300] = v[:300]  # equal vectors are a class, of which one is compared
+    ids = [f"v{i:05d}" for i in range(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id string, v array<float>")
+    got = defaultdict(list)
+    for r in neighbours.similar(df, "id", "v", 16, 3, 0.95).orderBy("rank").collect():
+        got[r.id].append(r.other)
+    want = alike_by_force(ids, v, 3, 0.95)
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) >= 0.995 * sum(map(len, want.values())) and set(got) <= set(want)
+    assert neighbours.similar(df.limit(0), "id", "v", 16, 3, 0.95).count() == 0
+
+    def compared(n):
+        x = cells.unit(np.random.default_rng(3).normal(size=(n, 64)))
+        m = cells.plan(x, n, 0.95, 2, cells.Cells())
+        size = np.bincount(cells._best_pivot(x, m.pivots), minlength=len(m.pivots))
+        s = x[:2000] @ m.pivots.T
+        return len(m.pivots) + ((s >= s.max(1, keepdims=True) - m.margin) @ size).mean()
+
+    assert compared(64_000) < 2.7 * compared(16_000) and compared(64_000) < 0.1 * 64_000
+
+
+def test_packed_vectors():
+    v = cells.unit(np.array([[3.0, -4, 0], [1e-30, 0, 0], [-1, 1e-9, 1]], np.float32))
+    assert np.array_equal(cells._unpacked(cells._packed(v), 3), v) and np.abs(v - [[0.6, -0.8, 0], [1, 0, 0], [-(0.5**0.5), 0, 0.5**0.5]]).max() < 2e-7
+
+
 # 4 -----------------------------------------------------------------------------------------------
 def brute_lines(docs, least=5, share=0.25):
     n, have = Counter(), defaultdict(set)
